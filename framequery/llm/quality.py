@@ -28,8 +28,10 @@ MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
 TAILS = {"symbol_rate": "high", "dup_line_rate": "high", "repeat_rate": "high", "upper_rate": "high", "mean_word": "both", "distinct_rate": "low"}
 #: The middle of a group reaches from quantile LOW to quantile HIGH.
 LOW, HIGH = 0.25, 0.75
-#: A cutoff lies this many times the middle's width beyond it; a width counts as WIDTH of the measure's unit at least.
-FENCE, WIDTH = 6.0, 0.02
+#: A cutoff lies this many times the middle's width beyond it. Most measures are 0 in most texts, so a width counts as
+#: the measure's LEAST_WIDTH at least: what a text of a few lines gets by one repeated line or symbol is no outlier.
+FENCE = 6.0
+LEAST_WIDTH = {"symbol_rate": 0.004, "dup_line_rate": 0.07, "repeat_rate": 0.05, "upper_rate": 0.05, "mean_word": 0.1, "distinct_rate": 0.05}
 #: Groups of fewer documents take the sketch of a wider group.
 LEAST = 200
 ACCURACY = 1000
@@ -100,7 +102,7 @@ def thresholds(measured: DataFrame, tails: dict[str, str] | None = None) -> Data
     out = [F.col("lang"), F.col("source")]
     for m, tail in tails.items():
         q = F.when(F.col("n") >= LEAST, F.col(m)).when(F.col("ln") >= LEAST, F.col(f"l_{m}")).otherwise(F.col(f"c_{m}"))
-        width = FENCE * F.greatest(q[1] - q[0], F.lit(WIDTH))
+        width = FENCE * F.greatest(q[1] - q[0], F.lit(LEAST_WIDTH.get(m, 0.0)))
         out.append((q[0] - width if tail in ("low", "both") else F.lit(None).cast("double")).alias(f"{m}_low"))
         out.append((q[1] + width if tail in ("high", "both") else F.lit(None).cast("double")).alias(f"{m}_high"))
     return joined.select(*out)
