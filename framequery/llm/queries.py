@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, jaccard, licenses, mixing, packing, quality, repeats, secrets, toxicity
+from . import fingerprints, jaccard, licenses, mixing, packing, quality, repeats, secrets, toxicity, warc
 from .common import table
 
 
@@ -35,6 +35,11 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.severities(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op6_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = warc.read_archives(warc.write_archives(table(spark, sf_dir, "pages")), with_payload=False)
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = repeats.repeated_words(table(spark, sf_dir, "documents"), with_text=False)
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256")

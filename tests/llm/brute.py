@@ -99,3 +99,48 @@ def pieces(rows, tokenizer, capacity=2048):
             part = ids[a : a + capacity]
             out[doc, k] = (a, len(part), zlib.crc32(b"".join(x.to_bytes(4, "little") for x in part)))
     return out
+
+
+ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
+
+
+def secrets(rows):
+    out = {}
+    for doc, text in rows:
+        text = text or ""
+        spans = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 8]
+        spans += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
+        spans += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 32]
+        spans.sort()
+        said = ",".join(f"{('assign', 'access', 'hex')[k]}:{a}:{b}" for a, k, b in spans)
+        out[doc] = (*(sum(k == x for _, k, _ in spans) for x in range(3)), hashlib.sha256(said.encode()).hexdigest())
+    return out
+
+
+def edited(rows):
+    """doc -> (n_chars, text with its second half replaced, next document)."""
+    order = sorted(rows, key=lambda r: -r[0])
+    out = {}
+    for k, (doc, text) in enumerate(order):
+        after, other = order[(k + 1) % len(order)]
+        text, h = text or "", len(text or "") // 2
+        out[doc] = (len(text), text[: len(text) - h] + (other or "")[:h], after)
+    return out
+
+
+def targets(sizes, weights=(3, 1, 2), share=1.5, epochs=2):
+    """source -> target, by sharing the excess again and again."""
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    w = {s: weights[k % len(weights)] for k, s in enumerate(names)}
+    cap = {s: epochs * sizes[s] for s in names}
+    out, open_, left = {s: 0.0 for s in names}, set(names), share * sum(sizes.values())
+    while open_:
+        level = left / sum(w[s] for s in open_)
+        full = {s for s in open_ if level * w[s] > cap[s]}
+        if not full:
+            return out | {s: level * w[s] for s in open_}
+        for s in full:
+            out[s] = cap[s]
+            left -= cap[s]
+        open_ -= full
+    return out
