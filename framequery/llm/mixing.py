@@ -85,3 +85,14 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     budget = F.round(F.col("target") - whole * F.col("source_size")).cast("long")
     extra = F.when(whole < epochs, F.least(F.col("size"), F.greatest(budget - start, F.lit(0)))).otherwise(F.lit(0))
     return summed.select("doc_id", "source", "size", "source_size", "target", (whole * F.col("size") + extra).cast("long").alias("taken"))
+
+
+def sampled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """docs, with all its columns, each row as often as the mix takes it; the document at a source's border stays if at
+    least half of it fits."""
+    size = F.greatest("size", F.lit(1))
+    times = mix_sources(docs, id_col, text_col, source_col, **options).select(F.col("doc_id").alias("__id"), F.floor((F.col("taken") + F.floor(size / 2)) / size).cast("int").alias("__times"))
+    # rows that share an id are taken as often as the one that is taken most
+    times = times.where("__times > 0").groupBy("__id").agg(F.max("__times").alias("__times"))
+    joined = docs.join(times.hint("shuffle_hash"), F.col(id_col).cast("long").eqNullSafe(F.col("__id")))
+    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
