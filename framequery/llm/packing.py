@@ -16,6 +16,7 @@ of the groups, so reruns agree.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -40,18 +41,28 @@ LAST = 4_000
 _MARKER = re.compile(r"<\|(?:startoftext|endoftext)\|>", re.IGNORECASE)
 #: The split pattern of the vocabulary file, with its Unicode classes spelt out for Latin-1 (after lower-casing).
 _LETTER, _NUMBER, _SPACE = "a-zªµºß-öø-ÿ", "0-9²³¹¼-¾", "\t-\r \x85\xa0"
-_PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^{_SPACE}{_LETTER}{_NUMBER}]+")
+_PIECES = re.compile(rf"[{_LETTER}]+|'(?:s|t|re|ve|m|ll|d)|[{_NUMBER}]|[^{_SPACE}{_LETTER}{_NUMBER}]+")
 
 
 class WordTokenizer:
     """Ids of whole texts as little-endian uint32 bytes. Words are independent of each other in this vocabulary, so each
     word's ids are computed by the tokenizer once and kept in a bounded memo."""
 
+    _open: dict[str, WordTokenizer] = {}
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.memo = Memo(lambda w: self.whole(w), 1 << 18)
+        self.memo = Memo(self.whole, 1 << 19)
+
+    @classmethod
+    def of(cls, path: str) -> WordTokenizer:
+        """One for each Python worker, whose memo serves all its tasks."""
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        if path not in cls._open:
+            cls._open[path] = cls(path)
+        return cls._open[path]
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -77,7 +88,7 @@ def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     path = tokenizer_path or default_tokenizer()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = WordTokenizer(path)
+        encode = WordTokenizer.of(path)
         step = 4 * capacity
         for batch in batches:
             rows: list[tuple] = []
