@@ -59,7 +59,7 @@ LEDGER = "blob string, rules array<string>, spans array<struct<start:int,kind_no
 
 def _found(rule: Rule, number: int, todo: Column) -> Column:
     """The rule's matches in `text`: their number, gap before, length, and whether they last."""
-    apart = f"(?s)(.*?)({rule.pattern})"
+    apart = f"(?s)\\G(.*?)({rule.pattern})"  # without \\G each place of the rest would start a new search to the end
     parts = [F.regexp_extract_all("text", F.lit(apart), F.lit(g)) for g in (1, 2, *([rule.group + 2] if rule.group else []))]
     each = F.arrays_zip(*[p.alias(n) for p, n in zip(parts, ("gap", "hit", "value"), strict=False)])
     value = "value" if rule.group else "hit"
