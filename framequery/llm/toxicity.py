@@ -1,7 +1,8 @@
 """Toxicity by cumulative-link ordinal regression on sparse text features.
 
-A text's features are its words (lower case, letters and digits), each with log(1 + occurrences). One weight vector is
-shared by all thresholds: P(grade > k) = sigmoid(w.x - t_k) with rising t_k. The output is the expected severity, the sum
+A text's features are its words (lower case, letters and digits) and the words' beginnings of 4 and 5 bytes, so that
+inflected forms share weight. A feature counts log(1 + occurrences) / sqrt(words of the text), which makes long and short
+texts comparable. One weight vector is shared by all thresholds: P(grade > k) = sigmoid(w.x - t_k) with rising t_k. The output is the expected severity, the sum
 of these probabilities, and the probability of any severity.
 
 The model is fitted on the driver on a bounded sample of labelled documents, SAMPLE at most, chosen by a hash of the id;
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from math import log1p, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -30,9 +32,14 @@ from .common import Memo, map_arrow, utf8, word_table
 SAMPLE, GRADES = 8_000, 4
 #: Words in fewer of the sample's documents are no features.
 MIN_DF = 5
-L2, STEPS, RATE = 3e-4, 400, 0.1
-#: Documents with at least this probability of any severity are toxic.
-LIMIT = 0.5
+#: Weight of the L2 penalty against the sum over all documents.
+PENALTY, STEPS, RATE = 8.0, 150, 0.1
+#: Documents with at least this probability of any severity are toxic, if their words raise the log-odds above those of
+#: a text without known words by EVIDENCE at least: a text is not rejected for being unlike the sample.
+LIMIT, EVIDENCE = 0.25, 1.0
+#: Bytes of the beginnings of words that are features of their own.
+STEMS = (4, 5)
+SCALE = 10.0
 
 _TABLE = word_table()
 
@@ -41,8 +48,22 @@ def word_counts(text: bytes) -> Counter:
     return Counter(text.translate(_TABLE).split())
 
 
+def features_of(word: bytes) -> list[int]:
+    """32-bit hashes of the word and its beginnings."""
+    return [xxhash.xxh32_intdigest(word), *(xxhash.xxh32_intdigest(word[:n], n) for n in STEMS if len(word) > n)]
+
+
+def feature_counts(text: bytes, memo: Memo) -> tuple[Counter, int]:
+    """Occurrences of each feature, and the number of words."""
+    words, out = word_counts(text), Counter()
+    for w, n in words.items():
+        for f in memo[w]:
+            out[f] += n
+    return out, words.total()
+
+
 class OrdinalModel:
-    """Weights by 64-bit word hash, and the thresholds."""
+    """Weights by feature hash, and the thresholds."""
 
     def __init__(self, weights: dict[int, float], thresholds: list[float]):
         self.weights, self.thresholds = weights, np.asarray(thresholds, np.float64)
@@ -52,21 +73,28 @@ class OrdinalModel:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - margins[:, None], -50, 50)))
 
     def memo(self) -> Memo:
+        """word -> those of its features that have a weight."""
         weights = self.weights
-        return Memo(lambda w: weights.get(xxhash.xxh64_intdigest(w), 0.0))
+        return Memo(lambda w: [f for f in features_of(w) if f in weights])
 
     def margin(self, text: bytes, memo: Memo) -> float:
-        return sum(memo[w] * np.log1p(n) for w, n in word_counts(text).items() if memo[w])
+        counts, n = feature_counts(text, memo)
+        weights = self.weights
+        return SCALE * sum(weights[f] * log1p(c) for f, c in counts.items()) / sqrt(max(n, 1))
 
 
-def fit(rows: list[np.ndarray], counts: list[np.ndarray], grades: np.ndarray, n_grades: int, l2: float = L2, steps: int = STEPS, rate: float = RATE, min_df: int = MIN_DF) -> OrdinalModel:
-    """Maximum likelihood with an L2 penalty by Adam. rows: feature ids of each document, counts: their occurrences."""
+def fit(rows: list[np.ndarray], counts: list[np.ndarray], n_words: np.ndarray, grades: np.ndarray, n_grades: int, penalty: float = PENALTY, steps: int = STEPS, rate: float = RATE, min_df: int = MIN_DF) -> OrdinalModel:
+    """Maximum likelihood with an L2 penalty by Adam. rows: feature ids of each document, counts:
+    their occurrences, n_words: the lengths of the documents."""
     ids, column = np.unique(np.concatenate(rows), return_inverse=True)
     line = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    value = np.log1p(np.concatenate(counts).astype(np.float64))
     keep = np.bincount(column, minlength=len(ids))[column] >= min_df
-    line, column, value = line[keep], column[keep], value[keep]
+    line, value = line[keep], np.log1p(np.concatenate(counts)[keep].astype(np.float32))
+    used, column = np.unique(column[keep], return_inverse=True)
+    ids = ids[used]
+    value *= (SCALE / np.sqrt(np.maximum(n_words, 1)))[line].astype(np.float32)
     n, levels = len(rows), n_grades - 1
+    l2 = penalty / n
     w = np.zeros(len(ids))
     share = np.array([(grades > k).mean() for k in range(levels)]).clip(1e-3, 1 - 1e-3)
     t = np.log((1 - share) / share)
@@ -89,7 +117,7 @@ def fit(rows: list[np.ndarray], counts: list[np.ndarray], grades: np.ndarray, n_
         move = rate * (1 - step / (steps + 1)) * (moments[0] / (1 - 0.9**step)) / (np.sqrt(moments[1] / (1 - 0.99**step)) + 1e-8)
         w, free = w - move[: len(ids)], free - move[len(ids) :]
     t = np.cumsum(np.concatenate([free[:1], np.exp(free[1:])]))
-    strong = np.flatnonzero(np.abs(w) > 1e-3)
+    strong = np.flatnonzero(np.abs(w) > 1e-2)
     return OrdinalModel({int(ids[k]): float(w[k]) for k in strong}, t.tolist())
 
 
@@ -116,26 +144,27 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     chosen = texts.join(F.broadcast(marked), texts.doc_id == marked.id).select("doc_id", "toxic", "text")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = Memo(features_of)
         for batch in batches:
-            found = [word_counts(x) for x in utf8(batch.column(2))]
-            ids = [np.fromiter(map(xxhash.xxh64_intdigest, c), np.uint64, len(c)).view(np.int64) for c in found]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.list_(pa.int64())), pa.array([list(c.values()) for c in found], pa.list_(pa.int32()))], names=["doc_id", "toxic", "ids", "counts"])
+            found = [feature_counts(x, memo) for x in utf8(batch.column(2))]
+            ids = [np.fromiter(c, np.uint32, len(c)).view(np.int32) for c, _ in found]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([n for _, n in found], pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array([list(c.values()) for c, _ in found], pa.list_(pa.int32()))], names=["doc_id", "toxic", "n_words", "ids", "counts"])
 
-    got = map_arrow(chosen, counted, "doc_id long, toxic int, ids array<long>, counts array<int>").toArrow().sort_by([("doc_id", "ascending")])
+    got = map_arrow(chosen, counted, "doc_id long, toxic int, n_words long, ids array<int>, counts array<int>").toArrow().sort_by([("doc_id", "ascending")])
     toxic = np.array([int(x > 0) for x in got.column("toxic").to_pylist()], np.int64)
-    rows = [x.values.to_numpy(zero_copy_only=False).view(np.uint64) for x in got.column("ids")]
+    rows = [x.values.to_numpy(zero_copy_only=False).view(np.uint32) for x in got.column("ids")]
     counts = [x.values.to_numpy(zero_copy_only=False) for x in got.column("counts")]
     if not 0 < toxic.sum() < len(toxic):
         return OrdinalModel({}, [50.0] * (n_grades - 1))
-    return fit(rows, counts, grades_of(rows, counts, toxic, n_grades), n_grades)
+    return fit(rows, counts, got.column("n_words").to_numpy(), grades_of(rows, counts, toxic, n_grades), n_grades)
 
 
 def scorer(model: OrdinalModel, text_at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = model.memo()
         for batch in batches:
-            p = model.probabilities(np.array([model.margin(x, memo) for x in utf8(batch.column(text_at))], np.float64))
-            yield batch, p
+            margins = np.array([model.margin(x, memo) for x in utf8(batch.column(text_at))], np.float64)
+            yield batch, model.probabilities(margins), margins >= EVIDENCE
 
     return run
 
@@ -144,9 +173,9 @@ def severities(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", tex
     """doc_id, severity (expected grade), p_toxic, grade (the most probable) and toxic for each row of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, p in scorer(model, 1)(batches):
+        for batch, p, sure in scorer(model, 1)(batches):
             each = np.diff(np.concatenate([np.zeros((len(p), 1)), 1 - p, np.ones((len(p), 1))], axis=1), axis=1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p.sum(axis=1)), pa.array(p[:, 0]), pa.array(each.argmax(axis=1).astype(np.int32)), pa.array(p[:, 0] >= limit)], names=["doc_id", "severity", "p_toxic", "grade", "toxic"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p.sum(axis=1)), pa.array(p[:, 0]), pa.array(each.argmax(axis=1).astype(np.int32)), pa.array((p[:, 0] >= limit) & sure)], names=["doc_id", "severity", "p_toxic", "grade", "toxic"])
 
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return map_arrow(picked, run, "doc_id long, severity double, p_toxic double, grade int, toxic boolean")
@@ -157,7 +186,7 @@ def without_toxic(docs: DataFrame, model: OrdinalModel, text_col: str = "text",
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, p in scorer(model, at)(batches):
-            yield batch.filter(pa.array(p[:, 0] < limit))
+        for batch, p, sure in scorer(model, at)(batches):
+            yield batch.filter(pa.array(~((p[:, 0] >= limit) & sure)))
 
     return map_arrow(docs, run, docs.schema)

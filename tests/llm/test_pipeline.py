@@ -24,7 +24,7 @@ def folder(spark, tmp_path_factory):
     clean = [d for d in docs if d[0] % 3]
     docs += [(1000 + k, d[1], *d[2:]) for k, d in enumerate(clean[:20])]
     docs += [(2000 + k, d[1] + " more", *d[2:]) for k, d in enumerate(clean[:20])]
-    docs += [(3000, "token = abcdefgh12345678 " + clean[-1][1] + " and so on with other words here too " * 3, "en", "s1", 0), (3001, None, None, None, None)]
+    docs += [(3000, "token = abcdefgh12345678 " + " ".join(f"word{j}" for j in range(40)), "en", "s1", 0), (3001, None, None, None, None)]
     docs = [(*d[:4], len(d[1] or "")) for d in docs]
     spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{root}/documents.parquet")
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{root}/labels.parquet")
@@ -51,6 +51,7 @@ def test_stages(spark, folder):
     assert not [i for i in ids["ngram_jaccard_join"] if 1000 <= i < 3000]
     assert {i for i in ids["ngram_jaccard_join"] if i < 300} == {i for i in ids["toxicity"] if i < 300}
     assert sorted(ids["secret_scan"]) == sorted(ids["ngram_jaccard_join"])
+    assert 3000 in ids["toxicity"] and 3000 in ids["ngram_jaccard_join"]
     masked = next(r for r in seen["secret_scan"] if r["doc_id"] == 3000)
     assert masked["text"].startswith("<secret> ") and masked["n_chars"] == len(masked["text"])
     assert set(ids["source_mix"]) <= set(ids["secret_scan"])
