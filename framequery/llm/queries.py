@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, jaccard, licenses, mixing, packing, quality, repeats, secrets, toxicity, warc
+from . import fingerprints, jaccard, licenses, mixing, oracle, packing, quality, repeats, secrets, toxicity, warc
 from .common import table
 
 
@@ -67,4 +67,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    found = {f.__name__: f() for f in (oracle.op3, oracle.op4, oracle.op6, oracle.op7, oracle.op9)}
+    return {name: found[n] for name in queries() if (n := name.split("_")[0]) in found}

@@ -1,7 +1,9 @@
 """The pipeline's stages on a small corpus."""
 
+import os
 import random
 
+import duckdb
 import pytest
 
 import corpus_pipeline
@@ -62,3 +64,19 @@ def test_stages(spark, folder):
 def test_each_operator_is_registered():
     names = queries.queries()
     assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)] == [1] * 10
+
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are absent")
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_query_equals_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "pages", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    df = queries.queries()[name](spark, SF)
+    answer = con.execute(queries.oracle_sql()[name])
+    order = [d[0] for d in answer.description]
+    assert sorted(order) == sorted(df.columns)
+    assert sorted(map(str, (tuple(r) for r in df.select(*order).collect()))) == sorted(map(str, answer.fetchall()))
