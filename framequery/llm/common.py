@@ -23,10 +23,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = f"file://{tempfile.gettempdir()}/framequery-shared"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
+    return (base or f"file://{tempfile.gettempdir()}/framequery-{spark.sparkContext.applicationId}").rstrip("/")
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:

@@ -66,6 +66,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     size, chars = F.regexp_count(text, F.lit(WORD)).cast("long"), F.char_length(text)
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), chars.alias("chars"), *([F.col(quality_col).cast("double").alias("quality")] if quality_col else []))
     quality = F.greatest(F.coalesce(F.col("quality"), F.lit(1.0)), F.lit(1e-6)) if quality_col else default_quality(F.col("size"), F.col("chars"))
+    slim = materialize(slim, "mix-sizes")  # dealing by ranges looks at its input twice; texts are read once
     drawn = slim.select("doc_id", "source", "size", (-F.ln(uniform(F.col("doc_id"), seed=seed)) / quality).alias("key"))
     order = ["source", "key", "doc_id", "size"]
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
