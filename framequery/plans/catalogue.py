@@ -295,10 +295,10 @@ def request_task(spark, sf_dir):
     return bridge.table(spark, sf_dir, "events").select("event_id", shaping.request_task(_kind(), F.col("event_type") == "view").alias("task"))
 
 
-@query("SELECT conv_id, turn, CASE WHEN len(text) % 3 = 0 THEN upper(text) ELSE text END AS translated FROM conversations")
+@query("SELECT conv_id, turn, CASE WHEN len(text) % 3 = 0 THEN 'en: ' || text ELSE text END AS translated FROM conversations")
 def translate_fallback(spark, sf_dir):
     c = bridge.table(spark, sf_dir, "conversations")
-    entries = c.where(F.char_length("text") % 3 == 0).select(F.col("text").alias("source"), F.upper("text").alias("target"))
+    entries = c.where(F.char_length("text") % 3 == 0).select(F.col("text").alias("source"), F.concat(F.lit("en: "), "text").alias("target"))
     return shaping.translate(c, entries).select("conv_id", "turn", "translated")
 
 
