@@ -102,7 +102,6 @@ def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     seeds = long_texts.join(later.hint("shuffle_hash"), ["doc_id", "key"], "left_anti").select("doc_id", "key", F.explode(F.arrays_zip("places", "hashes")).alias("x"))
     seeds = materialize(seeds.select("doc_id", "key", F.col("x.places").alias("place"), F.col("x.hashes").alias("h")), "seeds")
     shared = seeds.groupBy("h").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("h")
-    shared = materialize(shared, "shared-anchors")  # a plain join of two tables is one whose hot keys Spark can split
     around = seeds.join(shared, "h", "left_semi").groupBy("doc_id", "key").agg(F.collect_set("place").alias("places"))
     around = materialize(around, "shared-seeds")
 
