@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import Memo, map_arrow, utf8, word_table
 
-SAMPLE, GRADES = 8_000, 4
+SAMPLE, GRADES = 7_000, 4
 #: Words in fewer of the sample's documents are no features.
 MIN_DF = 5
 #: Weight of the L2 penalty against the sum over all documents.
@@ -83,19 +83,29 @@ class OrdinalModel:
         return SCALE * sum(weights[f] * log1p(c) for f, c in counts.items()) / sqrt(max(n, 1))
 
 
-def fit(rows: list[np.ndarray], counts: list[np.ndarray], n_words: np.ndarray, grades: np.ndarray, n_grades: int, penalty: float = PENALTY, steps: int = STEPS, rate: float = RATE, min_df: int = MIN_DF) -> OrdinalModel:
-    """Maximum likelihood with an L2 penalty by Adam. rows: feature ids of each document, counts:
-    their occurrences, n_words: the lengths of the documents."""
-    ids, column = np.unique(np.concatenate(rows), return_inverse=True)
-    line = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    keep = np.bincount(column, minlength=len(ids))[column] >= min_df
-    line, value = line[keep], np.log1p(np.concatenate(counts)[keep].astype(np.float32))
-    used, column = np.unique(column[keep], return_inverse=True)
-    ids = ids[used]
-    value *= (SCALE / np.sqrt(np.maximum(n_words, 1)))[line].astype(np.float32)
-    n, levels = len(rows), n_grades - 1
+class Sample:
+    """Sparse counts in coordinates: line (document), column (feature) and amount; features of fewer than min_df documents
+    are left out at once, which keeps the driver's memory small."""
+
+    def __init__(self, rows: list[np.ndarray], counts: list[np.ndarray], n_words: np.ndarray, min_df: int = MIN_DF):
+        self.n, self.n_words = len(rows), np.maximum(n_words, 1)
+        everything = np.concatenate(rows)
+        ids, df = np.unique(everything, return_counts=True)
+        self.ids = ids[df >= min_df]
+        where = np.searchsorted(self.ids, everything).astype(np.int32)
+        keep = np.isin(everything, self.ids)
+        self.column = where[keep]
+        self.line = np.repeat(np.arange(self.n, dtype=np.int32), [len(r) for r in rows])[keep]
+        self.amount = np.concatenate(counts)[keep].astype(np.float32)
+
+
+def fit(sample: Sample, grades: np.ndarray, n_grades: int, penalty: float = PENALTY, steps: int = STEPS, rate: float = RATE) -> OrdinalModel:
+    """Maximum likelihood with an L2 penalty by Adam."""
+    ids, line, column = sample.ids, sample.line, sample.column
+    value = np.log1p(sample.amount) * (SCALE / np.sqrt(sample.n_words))[line].astype(np.float32)
+    n, levels = sample.n, n_grades - 1
     l2 = penalty / n
-    w = np.zeros(len(ids))
+    w = np.zeros(len(ids), np.float32)
     share = np.array([(grades > k).mean() for k in range(levels)]).clip(1e-3, 1 - 1e-3)
     t = np.log((1 - share) / share)
     free = np.concatenate([t[:1], np.log(np.maximum(np.diff(t), 1e-2))])  # t_0 and the logarithms of the steps
@@ -115,21 +125,18 @@ def fit(rows: list[np.ndarray], counts: list[np.ndarray], n_words: np.ndarray, g
         moments[0] = 0.9 * moments[0] + 0.1 * g
         moments[1] = 0.99 * moments[1] + 0.01 * g * g
         move = rate * (1 - step / (steps + 1)) * (moments[0] / (1 - 0.9**step)) / (np.sqrt(moments[1] / (1 - 0.99**step)) + 1e-8)
-        w, free = w - move[: len(ids)], free - move[len(ids) :]
+        w, free = w - move[: len(ids)].astype(np.float32), free - move[len(ids) :]
     t = np.cumsum(np.concatenate([free[:1], np.exp(free[1:])]))
     strong = np.flatnonzero(np.abs(w) > 1e-2)
     return OrdinalModel({int(ids[k]): float(w[k]) for k in strong}, t.tolist())
 
 
-def grades_of(rows: list[np.ndarray], counts: list[np.ndarray], toxic: np.ndarray, n_grades: int) -> np.ndarray:
+def grades_of(sample: Sample, toxic: np.ndarray, n_grades: int) -> np.ndarray:
     """0 for clean documents; toxic ones in equal parts by the rate of words that occur mostly in toxic documents."""
-    ids, column = np.unique(np.concatenate(rows), return_inverse=True)
-    line = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    bad, good = (np.bincount(column, toxic[line] == k, minlength=len(ids)) for k in (1, 0))
+    bad, good = (np.bincount(sample.column[toxic[sample.line] == k], minlength=len(sample.ids)) for k in (1, 0))
     tied = (bad >= MIN_DF) & ((bad + 0.5) / (toxic.sum() + 1) > 5 * (good + 0.5) / ((1 - toxic).sum() + 1))
-    amount = np.concatenate(counts).astype(np.float64)
-    rate = np.bincount(line, amount * tied[column], minlength=len(rows)) / np.maximum(np.bincount(line, amount, minlength=len(rows)), 1)
-    out = np.zeros(len(rows), np.int64)
+    rate = np.bincount(sample.line, sample.amount * tied[sample.column], minlength=sample.n) / sample.n_words
+    out = np.zeros(sample.n, np.int64)
     where = np.flatnonzero(toxic == 1)
     order = where[np.argsort(rate[where], kind="stable")]
     out[order] = 1 + np.arange(len(order)) * (n_grades - 1) // max(len(order), 1)
@@ -152,11 +159,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     got = map_arrow(chosen, counted, "doc_id long, toxic int, n_words long, ids array<int>, counts array<int>").toArrow().sort_by([("doc_id", "ascending")])
     toxic = np.array([int(x > 0) for x in got.column("toxic").to_pylist()], np.int64)
-    rows = [x.values.to_numpy(zero_copy_only=False).view(np.uint32) for x in got.column("ids")]
-    counts = [x.values.to_numpy(zero_copy_only=False) for x in got.column("counts")]
     if not 0 < toxic.sum() < len(toxic):
         return OrdinalModel({}, [50.0] * (n_grades - 1))
-    return fit(rows, counts, got.column("n_words").to_numpy(), grades_of(rows, counts, toxic, n_grades), n_grades)
+    unpack = lambda c: [x.values.to_numpy(zero_copy_only=False) for x in got.column(c)]
+    sparse = Sample([x.view(np.uint32) for x in unpack("ids")], unpack("counts"), got.column("n_words").to_numpy())
+    del got
+    return fit(sparse, grades_of(sparse, toxic, n_grades), n_grades)
 
 
 def scorer(model: OrdinalModel, text_at: int):

@@ -243,7 +243,7 @@ def test_ordinal_gradient():
     margin = np.log1p(x) @ true + rng.logistic(size=n)
     grades = np.searchsorted(np.quantile(margin, [0.4, 0.8]), margin)
     rows = [np.flatnonzero(r).astype(np.uint32) for r in x]
-    model = toxicity.fit(rows, [r[r > 0] for r in x], np.full(n, toxicity.SCALE**2), grades, 3, penalty=4e-3)
+    model = toxicity.fit(toxicity.Sample(rows, [r[r > 0] for r in x], np.full(n, toxicity.SCALE**2)), grades, 3, penalty=4e-3)
     fitted = np.array([model.weights.get(k, 0.0) for k in range(d)])
     assert np.corrcoef(fitted, true)[0, 1] > 0.85
 
