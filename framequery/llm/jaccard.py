@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import ROLL_BASES, Rolling, components, hash_memo, map_arrow, materialize, utf8, word_hashes, word_table
@@ -117,8 +117,13 @@ def forest(linked: np.ndarray) -> list[tuple[int, int]]:
     return ties
 
 
+def text_hash(text_col: str) -> Column:
+    """Tells the rows of one id apart; a null text is empty."""
+    return F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+
+
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, set_id, n_shingles, keys): the digest of each row's set of shingles and its bucket in each tree."""
+    """(doc_id, text_hash, set_id, n_shingles, keys): the digest of each row's set of shingles and its bucket in each tree."""
     depth = matched_depth(threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,14 +135,19 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 sets.append(hashlib.blake2b(s.tobytes() if len(s) else b"no words", digest_size=16).hexdigest())
                 sizes.append(len(s))
                 keys.append(bucket_keys(signature(s), depth).view(np.int64) if len(s) else [])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.string()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "set_id", "n_shingles", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sets, pa.string()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "text_hash", "set_id", "n_shingles", "keys"])
 
-    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return map_arrow(picked, run, "doc_id long, set_id string, n_shingles long, keys array<long>")
+    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), text_hash(text_col).alias("text_hash"))
+    return map_arrow(picked, run, "doc_id long, text_hash long, set_id string, n_shingles long, keys array<long>")
 
 
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, set_id, class_id (the least id of the class), n_links for each row of docs."""
+    return _classes(docs, id_col, text_col, threshold).select("doc_id", "set_id", "class_id", "n_links")
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
+    """jaccard_classes with text_hash, and root, which tells classes apart where they share their least id."""
     signed = materialize(signatures(docs, id_col, text_col, threshold), "signatures")
     # classes of equal sets; `rep` numbers them: an id of the class, or for null ids one below all others
     sets = signed.groupBy("set_id").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("keys").alias("keys"))
@@ -222,8 +232,8 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = sets.select("rep", "set_id", "least", "copies").join(classes, F.col("rep") == F.col("node"), "left").drop("node").join(gained, "rep", "left")
     named = named.withColumn("root", F.coalesce("root", "rep"))
     first = named.groupBy("root").agg(F.min("least").alias("class_id"))
-    named = named.join(first, "root").select("set_id", "class_id", (F.col("copies") - 1 + F.coalesce("gained", F.lit(0))).cast("long").alias("n_links"))
-    return signed.select("doc_id", "set_id").join(named, "set_id").select("doc_id", "set_id", "class_id", "n_links")
+    named = named.join(first, "root").select("set_id", "root", "class_id", (F.col("copies") - 1 + F.coalesce("gained", F.lit(0))).cast("long").alias("n_links"))
+    return signed.select("doc_id", "text_hash", "set_id").join(named, "set_id").select("doc_id", "text_hash", "set_id", "root", "class_id", "n_links")
 
 
 def _ties(rows: list[tuple]) -> pa.RecordBatch:
@@ -231,9 +241,17 @@ def _ties(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b", "gained"])
 
 
+def one_row_of_each_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """docs, with all its columns, with one row of each class: of the rows with the least id, nulls last, the one with
+    the least set and text. Rows that share an id or have none stay as long as their classes differ."""
+    classes = _classes(docs, id_col, text_col, threshold)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "set_id", "text_hash")
+    stay = classes.groupBy("root").agg(F.min(order).alias("least")).select(F.col("least.doc_id").alias("__stay"), F.col("least.text_hash").alias("__hash"))
+    told = docs.withColumn("__own", text_hash(text_col))
+    same = told[id_col].cast("long").eqNullSafe(F.col("__stay")) & (F.col("__own") == F.col("__hash"))
+    return told.join(stay.hint("shuffle_hash"), same).dropDuplicates([id_col, "__own"]).select(*docs.columns)
+
+
 def one_of_each_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """docs, with all its columns, without the documents that are near copies of one with a smaller id; of rows that
-    share an id one stays."""
-    classes = jaccard_classes(docs, id_col, text_col, threshold)
-    stay = classes.groupBy("class_id").agg(F.min("doc_id").alias("__stay")).select("__stay").distinct()
-    return docs.join(stay.hint("shuffle_hash"), docs[id_col].cast("long").eqNullSafe(F.col("__stay"))).drop("__stay").dropDuplicates([id_col])
+    """one_row_of_each_class for tables whose ids are unique and not null; of rows that share an id one stays."""
+    return one_row_of_each_class(docs, id_col, text_col, threshold).dropDuplicates([id_col])

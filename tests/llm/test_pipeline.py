@@ -61,6 +61,16 @@ def test_stages(spark, folder):
     assert corpus_pipeline.run(spark, folder).count() == len(seen["best_fit_packing"])
 
 
+def test_near_copies_go_by_row_not_by_id(spark):
+    text = lambda k: " ".join(f"t{k}w{j}" for j in range(40))
+    rows = [(None if i % 3 == 0 else i, text(i)) for i in range(30)]
+    rows += [(100, text(100)), (105, text(105)), (105, text(100) + " more"), (None, text(1)), (105, text(105)), (None, text(3) + " more")]
+    left = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    kept = sorted(((r["doc_id"], r["text"]) for r in left), key=str)
+    assert len(kept) == 32 and {x for x in kept if x[0] is not None} == {(i, text(i)) for i in range(30) if i % 3} | {(100, text(100)), (105, text(105))}
+    assert {t.split()[0] for i, t in kept if i is None} == {f"t{i}w0" for i in range(0, 30, 3)}
+
+
 def test_each_operator_is_registered():
     names = queries.queries()
     assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)] == [1] * 10
