@@ -45,12 +45,20 @@ BASE = (
     Rule("access", "AKIA[A-Z0-9]{12,}", "AKIA[A-Z0-9]{12}", 0, 16),
     Rule("hex", "[0-9a-f]{32,}", "[0-9a-f]{32}", 0, 32),
 )
+#: The line that a private key starts with.
+_ARMOUR = "-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"
+#: From the armour to the END line; what is between has hyphens in headers only, and no other armour.
+_TO_END = "[^-]*(?:-{1,4}[^-]+){0,40}-----END [A-Z ]{0,20}PRIVATE KEY-----"
+#: Where END is missing: headers, then base64. Long runs may be indented or on one line; lines without indent go on as
+#: long as they are base64 as a whole, the last one with its line break. Breaks may be written as \\n.
+_HEADERS = "(?:[\\x20\\t]*[\\r\\n]+[A-Za-z0-9-]+:\\x20[^\\r\\n]*){0,9}"
+_LINES = "(?:[\\x20\\t\\r\\n]+[A-Za-z0-9+/=\\\\]{16,}){0,60}(?:[A-Za-z0-9+/=\\\\\\r\\n]*(?:[A-Za-z0-9+/=\\\\]{16,}|[A-Za-z0-9+/=\\\\]+\\r?(?:\\n|\\z)))?"
 #: Forms of keys that issuers have made public.
 EXTRA = (
     Rule("forge_token", "gh[pousr]_[A-Za-z0-9]{36,}", "gh[pousr]_[A-Za-z0-9]{36}"),
     Rule("chat_token", "xox[abprs]-[A-Za-z0-9-]{10,}", "xox[abprs]-[A-Za-z0-9-]{10}"),
     Rule("web_token", "eyJ[A-Za-z0-9_-]{8,}\\.eyJ[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{8,}", "eyJ[A-Za-z0-9_-]{8,}\\.eyJ"),
-    Rule("private_key", "-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----", "-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"),
+    Rule("private_key", f"{_ARMOUR}(?:{_TO_END}|{_HEADERS}{_LINES})", _ARMOUR, version=2),
 )
 RULES = BASE + EXTRA
 
@@ -102,6 +110,9 @@ def secret_spans(docs: DataFrame, ledger: DataFrame | None = None, id_col: str =
     """doc_id, blob, spans (start, kind_no, stop, kind; in order) for each row of docs."""
     versions, book = update_ledger(docs, ledger, id_col, text_col, rules)
     current = F.array(*[F.lit(r.kind) for r in rules])
+    # spans of a rule's former version are not the rule's
+    now = F.create_map(*[F.lit(x) for r in rules for x in (r.kind, r.name)])
+    book = book.withColumn("spans", F.filter("spans", lambda x: F.array_contains(F.col("rules"), F.element_at(now, x["kind"]))))
     spans = book.where(F.size("spans") > 0).groupBy("blob").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
     joined = versions.join(spans, "blob", "left")
     return joined.select("doc_id", "blob", F.coalesce(F.filter("spans", lambda x: F.array_contains(current, x["kind"])), F.array().cast("array<struct<start:int,kind_no:int,stop:int,kind:string>>")).alias("spans"))

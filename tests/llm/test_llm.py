@@ -8,6 +8,7 @@ import sys
 from collections import Counter, defaultdict
 from pathlib import Path
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, str(Path(__file__).parent))
 import brute
 
-from framequery.llm import common, fingerprints, jaccard, licenses, mixing, packing, quality, repeats, secrets, toxicity, warc
+from framequery.llm import common, fingerprints, jaccard, licenses, mixing, oracle, packing, quality, repeats, secrets, toxicity, warc
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, blob string, node long, rep long, h long, key string, grp long, a long, b long, __t string"
 LONG = 6000
@@ -333,6 +334,37 @@ def test_secrets(spark, docs, rows, odd, empty):
         assert clean[doc]["n_chars"] == len(clean[doc]["text"] or "")
 
 
+def test_private_keys_go_whole(spark):
+    rng = random.Random(14)
+    body = ["".join(rng.choice("ABCDEFGHIJKLmnopqrstuvwxyz0123456789+/") for _ in range(64)) for _ in range(50)] + ["Zm9vYg=="]
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    head = "Proc-Type: 4,ENCRYPTED\nDEK-Info: DES-EDE3-CBC,0A1B2C\n\n"
+    cut = {  # text, what stays of it
+        1: ("é before\n" + "\n".join([begin, *body, end]) + "\nafter", ("é before\n", "\nafter")),
+        2: ("x " + begin + "\r\n" + "\r\n".join(body) + "\r\n" + end, ("x ", "")),
+        3: (begin + "\n" + head + "\n".join(body) + "\n" + end + " y", ("", " y")),
+        4: ("k: '" + begin + "\\n" + "\\n".join(body) + "\\n" + end + "\\n'", ("k: '", "\\n'")),
+        5: ("a " + " ".join([begin, *body, end]) + " b", ("a ", " b")),
+        6: ("no end\n" + "\n".join([begin, *body]) + "\nHello world of words", ("no end\n", "Hello world of words")),
+        7: (begin + "\n" + head + "\n".join(body), ("", "")),
+        8: (begin + "\n" + "\n".join(body[:-1] * 40) + "\nplain words follow", ("", "plain words follow")),
+        9: (begin + " is how a key starts", ("", " is how a key starts")),
+        10: ("\n  ".join(["in", begin, *body[:-1]]) + "\n  then words", ("in\n  ", "\n  then words")),
+    }
+    cut[11] = (begin + "\n" + body[0] + "\nsome words then\n" + cut[1][0], ("", "\nsome words then\né before\n", "\nafter"))
+    docs = spark.createDataFrame([(k, t) for k, (t, _) in cut.items()], "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in secrets.redact(docs).collect()}
+    assert got == {k: secrets.MASK.join(stay) for k, (_, stay) in cut.items()}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", [(k, t) for k, (t, _) in cut.items()])
+    answer = con.execute(f"SELECT doc_id, spans FROM ({oracle.op9()})").fetchall()
+    assert dict(answer) == {r["doc_id"]: r["s"] for r in secrets.secret_spans(docs).select("doc_id", secrets.span_text(F.col("spans")).alias("s")).collect()}
+    former = tuple(secrets.Rule(r.kind, secrets._ARMOUR, secrets._ARMOUR) if r.kind == "private_key" else r for r in secrets.RULES)
+    _, book = secrets.update_ledger(docs, rules=former)
+    assert {len(r["spans"]) for r in secrets.secret_spans(docs, book).where("doc_id < 11").collect()} == {1}  # none of the former version
+
+
 def test_ledger_scans_only_what_is_new(spark):
     first = spark.createDataFrame([(1, "token=abcdefgh"), (2, "plain"), (3, "token=abcdefgh")], "doc_id long, text string")
     _, book = secrets.update_ledger(first, rules=secrets.BASE)
