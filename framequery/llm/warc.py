@@ -14,7 +14,8 @@ file systems, below spark.checkpoint.dir or a path given.
 
 Defined results: a null payload is empty; a null URL is an empty header; rows with a null id keep it and count as
 smaller than all; rows with one id and payload are all responses or all revisits; an empty table writes no file and reads
-as no rows; a damaged record ends its file's chain, what is before it stays.
+as no rows; a damaged record ends its file's chain. Reading fails if the manifest tells more or fewer records than were
+read, unless `lenient`: then, and without a count in the manifest, what is before the damaged record stays.
 """
 
 from __future__ import annotations
@@ -36,8 +37,8 @@ from .common import fresh_path, map_arrow, materialize, utf8
 MIN_BYTES = 0
 #: Bytes of a range, and of one read.
 RANGE, READ = 4 << 20, 1 << 20
-#: A record's header ends within this many bytes.
-HEADER_LIMIT = 1 << 16
+#: First read for a plain record's header; it goes on until the header's end.
+HEADER_READ = 1 << 16
 LEVEL = 1
 #: All records carry one date, so that reruns write equal files.
 DATE = "2024-01-01T00:00:00Z"
@@ -120,6 +121,7 @@ class _Window:
 
     def __init__(self, handle, start: int, size: int):
         self.handle, self.start, self.size, self.data = handle, start, size, b""
+        self.asked, self.found = 0, -1
 
     def upto(self, offset: int) -> None:
         """Makes bytes before `offset` present."""
@@ -129,6 +131,21 @@ class _Window:
             self.handle.seek(have)
             self.data += self.handle.read(want - have)
 
+    def blank(self, at: int) -> int:
+        """The offset of the first empty line at or after an offset, -1 if there is none. Offsets go up from call to call,
+        so that many candidates before one empty line search for it once."""
+        if not self.asked <= at <= self.found:
+            self.asked, look, want = at, at, at + HEADER_READ
+            while True:
+                self.upto(want)
+                k = self.data.find(b"\r\n\r\n", look - self.start)
+                have = self.start + len(self.data)
+                if k >= 0 or have >= self.size:
+                    self.found = self.start + k if k >= 0 else self.size
+                    break
+                look, want = max(at, have - 3), have + (have - at)
+        return self.found if self.found < self.size else -1
+
     def get(self, a: int, b: int) -> bytes:
         self.upto(b)
         return self.data[a - self.start : b - self.start]
@@ -153,7 +170,7 @@ def _unzip(window: _Window, at: int) -> tuple[bytes, int] | None:
 
 def parse_record(data: bytes) -> tuple[dict[str, str], bytes, int] | None:
     """Header, payload and length of the record at the start of data, or None."""
-    end = data.find(b"\r\n\r\n", 0, HEADER_LIMIT)
+    end = data.find(b"\r\n\r\n")
     if end < 0 or not data.startswith(PLAIN_MAGIC):
         return None
     head = dict(x.split(": ", 1) for x in data[:end].decode("utf-8", "replace").split("\r\n")[1:] if ": " in x)
@@ -168,12 +185,12 @@ def parse_record(data: bytes) -> tuple[dict[str, str], bytes, int] | None:
 
 
 def _plain(window: _Window, at: int) -> tuple[bytes, int] | None:
-    head = window.get(at, at + HEADER_LIMIT)
-    end = head.find(b"\r\n\r\n")
-    if end < 0:
+    blank = window.blank(at)
+    if blank < 0:
         return None
+    head, end = window.get(at, blank), blank - at
     try:
-        n = int(dict(x.split(b": ", 1) for x in head[:end].split(b"\r\n")[1:] if b": " in x)[b"Content-Length"])
+        n = int(dict(x.split(b": ", 1) for x in head.split(b"\r\n")[1:] if b": " in x)[b"Content-Length"])
     except (KeyError, ValueError):
         return None
     stop = at + end + 4 + n + 4
@@ -204,7 +221,7 @@ def _page(urn: str | None) -> int | None:
 FIELDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload string"
 
 
-def read_archives(manifest: DataFrame, range_bytes: int = RANGE, with_payload: bool = True) -> DataFrame:
+def read_archives(manifest: DataFrame, range_bytes: int = RANGE, with_payload: bool = True, lenient: bool = False) -> DataFrame:
     """file, offset and the fields of every record that is reachable from the start of its file."""
     spark = manifest.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -245,7 +262,12 @@ def read_archives(manifest: DataFrame, range_bytes: int = RANGE, with_payload: b
         return pd.DataFrame({"file": rows["file"].iloc[0], "at": keep})
 
     # a group is the candidates of one range, without their fields
-    true = chains.groupBy("file", "part").applyInPandas(walk, "file string, at long")
+    true = materialize(chains.groupBy("file", "part").applyInPandas(walk, "file string, at long"), "records")
+    if not lenient:
+        read = true.groupBy(F.col("file").alias("f")).agg(F.count("*").alias("read"))
+        lost = manifest.join(read, F.col("file") == F.col("f"), "left").select("file", "records", F.coalesce("read", F.lit(0)).alias("read")).where("records <> read")
+        if some := lost.limit(3).collect():
+            raise ValueError("records read differ from the manifest: " + "; ".join(f"{r['read']} of {r['records']} in {r['file']}" for r in some))
     return found.join(true, ["file", "at"], "left_semi").select("file", F.col("at").alias("offset"), *[x.split()[0] for x in FIELDS.split(", ")])
 
 

@@ -275,6 +275,20 @@ def test_warc(spark, compress):
     assert warc.read_archives(warc.write_archives(pages.limit(0))).count() == 0
 
 
+@pytest.mark.parametrize("compress", [True, False])
+def test_warc_long_urls(spark, compress):
+    trap = "WARC/1.0 " * 9000
+    rows = [(i, f"http://h/{i}" if i % 3 else "data:text/plain," + "a" * (65000 + 100 * i) + trap * (i % 2), f"<p>{i}</p>{trap if i == 4 else ''}") for i in range(12)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    manifest = warc.write_archives(pages, compress=compress)
+    got = warc.read_archives(manifest, range_bytes=9973).collect()
+    assert sorted((r["page_id"], r["url"], r["payload"]) for r in got) == rows
+    short = manifest.withColumn("records", F.col("records") + 1)
+    with pytest.raises(ValueError, match="12 of 13"):
+        warc.read_archives(short)
+    assert warc.read_archives(short, lenient=True).count() == 12
+
+
 def test_substring_dedup(docs, rows, odd, empty):
     got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in repeats.repeated_words(docs).collect()}
     want = brute.substring_dedup(pairs(rows))
