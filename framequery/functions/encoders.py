@@ -9,7 +9,7 @@ from __future__ import annotations
 import base64
 import binascii
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from typing import Protocol
 
 import numpy as np
@@ -36,19 +36,20 @@ class HistogramEncoder:
     def __init__(self, dimension: int = DIMENSION):
         self.dimension = dimension
 
-    def _fold(self, items: list[list[bytes]]) -> np.ndarray:
-        out = np.zeros((len(items), self.dimension), np.float32)
+    def _fold(self, items: Iterable[list[bytes]], n: int) -> np.ndarray:
+        out = np.zeros((n, self.dimension), np.float32)
         for row, words in enumerate(items):
-            for w in words:
-                h = xxhash.xxh64_intdigest(w)
-                out[row, h % self.dimension] += 1 if h >> 63 else -1
+            h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+            signs = np.where(h >> np.uint64(63), 1.0, -1.0)
+            out[row] = np.bincount((h % np.uint64(self.dimension)).astype(np.int64), signs, self.dimension)
         return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
     def encode_texts(self, texts: list[str]) -> np.ndarray:
-        return self._fold([[w.encode() for w in re.split(r"[^\w]+", t.lower()) if w][:64] for t in texts])
+        """All words of a text count, however long it is; the stand-in has no model's limit."""
+        return self._fold(([w.encode() for w in re.split(r"[^\w]+", t.lower()) if w] for t in texts), len(texts))
 
     def encode_images(self, images: list[bytes]) -> np.ndarray:
-        return self._fold([[bytes([b]) for b in x] for x in images])
+        return self._fold(([bytes([b]) for b in x] for x in images), len(images))
 
 
 def encode_column(encoder: Encoder, text: Column) -> Column:

@@ -2,6 +2,7 @@ import json
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -163,6 +164,17 @@ def test_staged_search_against_model(spark, seed):
     assert [r["id"] for r in got] == [r[0] for r in want]
 
 
+def test_encoder_counts_all_words():
+    encoder = encoders.HistogramEncoder()
+    start = " ".join(f"w{i}" for i in range(64))
+    a, b, again = encoder.encode_texts([start, start + " and what follows", start + " and what follows"])
+    assert (a != b).any() and (b == again).all()
+    long = [f"w{i}" for i in range(20000)]
+    both = encoder.encode_texts([" ".join(long), " ".join(long[:-500])])
+    assert (both[0] != both[1]).any() and abs(np.linalg.norm(both, axis=1) - 1).max() < 1e-5
+    assert encoder.encode_texts([""]).tolist() == [[0.0] * encoder.dimension] and encoder.encode_texts([]).shape == (0, encoder.dimension)
+
+
 def test_requests(spark):
     encoder = encoders.HistogramEncoder()
     texts = ["red car", "blue car", "a dog", "red dog"]
