@@ -26,12 +26,15 @@ MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
 
 #: Measures that the sketches summarise, and which of their tails is suspect.
 TAILS = {"symbol_rate": "high", "dup_line_rate": "high", "repeat_rate": "high", "upper_rate": "high", "mean_word": "both", "distinct_rate": "low"}
-#: The middle of a group reaches from quantile LOW to quantile HIGH.
-LOW, HIGH = 0.25, 0.75
-#: A cutoff lies this many times the middle's width beyond it. Most measures are 0 in most texts, so a width counts as
-#: the measure's LEAST_WIDTH at least: what a text of a few lines gets by one repeated line or symbol is no outlier.
-FENCE = 6.0
-LEAST_WIDTH = {"symbol_rate": 0.004, "dup_line_rate": 0.07, "repeat_rate": 0.05, "upper_rate": 0.05, "mean_word": 0.1, "distinct_rate": 0.05}
+#: The tails of a group begin at quantile LOW and at quantile HIGH.
+LOW, MIDDLE, HIGH = 0.1, 0.5, 0.9
+#: A cutoff lies FENCE times as far from the median as its tail's beginning, LEAST_WIDTH at least: most measures are 0 in
+#: most texts, and what a text of a few lines gets by one repeated line or symbol is no outlier.
+FENCE = 2.5
+LEAST_WIDTH = {"symbol_rate": 0.01, "dup_line_rate": 0.1, "repeat_rate": 0.1, "upper_rate": 0.02, "mean_word": 0.5, "distinct_rate": 0.25}
+#: Where a measure of texts that pass the base rules ends. A cutoff keeps to the nearer half of the way from its tail's
+#: beginning to there, so that every rule can reject something in every group.
+BOUND = {"symbol_rate": 1.0, "dup_line_rate": 1.0, "repeat_rate": MAX_REPEAT_PERCENT / 100, "upper_rate": 1.0, "distinct_rate": 0.0}
 #: Groups of fewer documents take the sketch of a wider group.
 LEAST = 200
 ACCURACY = 1000
@@ -91,7 +94,7 @@ def measure_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def thresholds(measured: DataFrame, tails: dict[str, str] | None = None) -> DataFrame:
     """For each language and source the low and high cutoff of each measure, from the sketches of texts that pass the base rules."""
     tails = tails or TAILS
-    sketch = [F.percentile_approx(m, [LOW, HIGH], ACCURACY).alias(m) for m in tails]
+    sketch = [F.percentile_approx(m, [LOW, MIDDLE, HIGH], ACCURACY).alias(m) for m in tails]
     sound = measured.where(~base_failed())
     cube = sound.groupingSets([["lang", "source"], ["lang"], []], "lang", "source").agg(F.grouping_id("lang", "source").alias("level"), F.count("*").alias("n"), *sketch)
     cube = materialize(cube, "quality-sketches")
@@ -102,9 +105,11 @@ def thresholds(measured: DataFrame, tails: dict[str, str] | None = None) -> Data
     out = [F.col("lang"), F.col("source")]
     for m, tail in tails.items():
         q = F.when(F.col("n") >= LEAST, F.col(m)).when(F.col("ln") >= LEAST, F.col(f"l_{m}")).otherwise(F.col(f"c_{m}"))
-        width = FENCE * F.greatest(q[1] - q[0], F.lit(LEAST_WIDTH.get(m, 0.0)))
-        out.append((q[0] - width if tail in ("low", "both") else F.lit(None).cast("double")).alias(f"{m}_low"))
-        out.append((q[1] + width if tail in ("high", "both") else F.lit(None).cast("double")).alias(f"{m}_high"))
+        least, bound = F.lit(LEAST_WIDTH.get(m, 0.0)), F.lit(BOUND.get(m)).cast("double")  # least and greatest skip nulls
+        low = F.greatest(q[1] - F.greatest(FENCE * (q[1] - q[0]), least), (q[0] + bound) / 2)
+        high = F.least(q[1] + F.greatest(FENCE * (q[2] - q[1]), least), (q[2] + bound) / 2)
+        out.append((low if tail in ("low", "both") else F.lit(None).cast("double")).alias(f"{m}_low"))
+        out.append((high if tail in ("high", "both") else F.lit(None).cast("double")).alias(f"{m}_high"))
     return joined.select(*out)
 
 

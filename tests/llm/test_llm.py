@@ -328,6 +328,32 @@ def test_quality_cutoffs_follow_groups(spark):
     assert {r["doc_id"] for r in got if not r["kept"]} == set(range(590, 600))
 
 
+def test_quality_rules_can_each_reject(spark):
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(3, 8)))
+    lines = lambda w: "\n".join(" ".join(w[k : k + 6]) for k in range(0, len(w), 6))
+    plain = lambda: [word() for _ in range(120)]
+    few, w = [word() for _ in range(18)], plain()
+    bad = {
+        "symbol_rate": lines([x + "$" * (k % 6 == 0) for k, x in enumerate(plain())]),
+        "dup_line_rate": lines(w[:90]) + "\n" + "\n".join(" ".join(w[k : k + 6]) for k in (0, 18, 36, 54, 72)),
+        "repeat_rate": " ".join(w[:102] + w[40:58]),
+        "upper_rate": lines([x.upper() if k % 8 == 0 else x for k, x in enumerate(plain())]),
+        "mean_word": lines([x + x for x in plain()]),
+        "distinct_rate": lines([rng.choice(few) for _ in range(120)]),
+    }
+    rows = [(i, lines(plain()), "en", f"s{i % 2}") for i in range(600)] + [(1000 + k, t, "en", "s0") for k, t in enumerate(bad.values())]
+    # a group whose sound texts repeat a lot: its cutoff stays below the base rule's
+    rows += [(2000 + i, " ".join((p := plain())[:102] + p[40 : 40 + 9 + i % 9]), "de", "s0") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r["doc_id"]: r for r in quality.quality_verdicts(df).collect()}
+    for k, rule in enumerate(bad):
+        assert not got[1000 + k]["base_failed"] and rule in got[1000 + k]["broken_rules"], (rule, got[1000 + k])
+    assert sum(not got[i]["kept"] for i in range(600)) <= 3
+    for cut in quality.thresholds(quality.measure_texts(df)).collect():
+        assert cut["repeat_rate_high"] < quality.MAX_REPEAT_PERCENT / 100 and cut["distinct_rate_low"] > 0
+
+
 def test_secrets(spark, docs, rows, odd, empty):
     found = {r["doc_id"]: r["spans"] for r in secrets.secret_spans(docs).collect()}
     for doc, want in brute.secrets(pairs(rows)).items():
