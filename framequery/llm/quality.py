@@ -1,8 +1,8 @@
 """Quality rules whose cutoffs follow the data: quantile sketches per language and source instead of fixed numbers.
 
 Texts are measured once; the measures of each (language, source) are summarised by Spark's mergeable quantile
-sketches (partial sketches per task, merged after the shuffle, so a hot source costs no hot task); a group with few
-documents takes the sketch of its language, else that of the corpus. The cutoffs are then joined back and documents
+sketches (partial sketches per task, merged after the shuffle, so a hot source costs no hot task); a group's quantiles
+are blended with those of its language, and these with the corpus, by the number of documents. The cutoffs are then joined back and documents
 outside them are dropped.
 
 Words are runs of `[^\\x20\\x09-\\x0D]`. Defined results: a null text is empty, has no words and fails; null language or
@@ -35,7 +35,7 @@ LEAST_WIDTH = {"symbol_rate": 0.01, "dup_line_rate": 0.1, "repeat_rate": 0.1, "u
 #: Where a measure of texts that pass the base rules ends. A cutoff keeps to the nearer half of the way from its tail's
 #: beginning to there, so that every rule can reject something in every group.
 BOUND = {"symbol_rate": 1.0, "dup_line_rate": 1.0, "repeat_rate": MAX_REPEAT_PERCENT / 100, "upper_rate": 1.0, "distinct_rate": 0.0}
-#: Groups of fewer documents take the sketch of a wider group.
+#: A group's quantiles count by its documents, those of the next wider group by so many.
 LEAST = 200
 ACCURACY = 1000
 
@@ -104,7 +104,8 @@ def thresholds(measured: DataFrame, tails: dict[str, str] | None = None) -> Data
     joined = fine.join(wide, F.col("lang").eqNullSafe(F.col("l")), "left").join(F.broadcast(all_), F.lit(True), "left")
     out = [F.col("lang"), F.col("source")]
     for m, tail in tails.items():
-        q = F.when(F.col("n") >= LEAST, F.col(m)).when(F.col("ln") >= LEAST, F.col(f"l_{m}")).otherwise(F.col(f"c_{m}"))
+        blend = lambda own, n, wider: (n * own + LEAST * wider) / (n + LEAST)
+        q = [blend(F.col(m)[k], F.col("n"), blend(F.col(f"l_{m}")[k], F.col("ln"), F.col(f"c_{m}")[k])) for k in range(3)]
         least, bound = F.lit(LEAST_WIDTH.get(m, 0.0)), F.lit(BOUND.get(m)).cast("double")  # least and greatest skip nulls
         low = F.greatest(q[1] - F.greatest(FENCE * (q[1] - q[0]), least), (q[0] + bound) / 2)
         high = F.least(q[1] + F.greatest(FENCE * (q[2] - q[1]), least), (q[2] + bound) / 2)

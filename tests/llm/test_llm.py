@@ -354,6 +354,16 @@ def test_quality_rules_can_each_reject(spark):
         assert cut["repeat_rate_high"] < quality.MAX_REPEAT_PERCENT / 100 and cut["distinct_rate_low"] > 0
 
 
+def test_quality_cutoffs_move_smoothly(spark):
+    def cutoff(n):
+        rows = [(i, 0.5, "en", "s0") for i in range(n)] + [(i, 0.2, "en", "s1") for i in range(20000)]
+        df = spark.createDataFrame(rows, "doc_id long, symbol_rate double, lang string, source string").selectExpr("*", "100L n_words", "0L n_repeat_words")
+        return {r["source"]: r["symbol_rate_high"] for r in quality.thresholds(df, {"symbol_rate": "high"}).collect()}["s0"]
+
+    few, below, at, many = (cutoff(n) for n in (20, quality.LEAST - 1, quality.LEAST, 900))
+    assert few < below < at < many and at - below < 0.01
+
+
 def test_secrets(spark, docs, rows, odd, empty):
     found = {r["doc_id"]: r["spans"] for r in secrets.secret_spans(docs).collect()}
     for doc, want in brute.secrets(pairs(rows)).items():
