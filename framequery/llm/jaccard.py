@@ -1,9 +1,10 @@
-"""N-gram Jaccard join with a MinHash LSH forest and exact verification.
+"""N-gram Jaccard join with MinHash banding and exact verification.
 
 Texts become sets of SHINGLE-word shingles (lower case, punctuation aside). Equal sets are settled by a digest of the
-set; one document of each such class goes on. Its MinHash signature is cut into TREES labels of DEPTH values each: the
-sorted labels of a tree are a prefix trie. The matched prefix starts at the full label and is shortened until documents
-at the threshold meet in some tree with the target recall; the prefixes of that length are the buckets.
+set; one document of each such class goes on. Its MinHash signature is cut into TREES labels of DEPTH values each. The
+longest prefix with which documents at the threshold meet in some tree with the target recall follows from the
+parameters alone; the prefixes of that length are the buckets, so this is fixed banding and no LSH forest: no label is
+sorted and no prefix depends on the data.
 
 Buckets are not expanded into pairs. Each member is tied to the least member of its bucket, the components of those
 ties are the candidate groups, and each group is verified exactly: its sets, dealt into blocks of bounded size, meet
