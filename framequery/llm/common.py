@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -21,9 +22,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    return (base or f"file://{tempfile.gettempdir()}/framequery-{spark.sparkContext.applicationId}").rstrip("/")
+    """The folder that all executors share: spark.checkpoint.dir, else the context's checkpoint folder. Only where the
+    master is local (tests) one of our own stands in."""
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not base:
+        if not re.match(r"local(\[|$)", context.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        base = f"file://{tempfile.gettempdir()}/framequery-{context.applicationId}"
+    return base.rstrip("/")
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
@@ -34,7 +41,37 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes df into the shared folder and reads it back: cuts the lineage and survives lost executors."""
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back._written = path
+    return back
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of materialize whose rows nothing needs any more."""
+    for df in tables:
+        context = df.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(df._written)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def own_name(name: str) -> str:
+    """A name for a column of our own beside all columns of the caller's table."""
+    return f"__{name}_{uuid.uuid4().hex}"
+
+
+#: A key of more than one in HOT of all rows is frequent, so at most HOT keys are.
+HOT = 10_000
+
+
+def join_frequent(many: DataFrame, few: DataFrame, keys: list[str], total: int, times: str = "times") -> DataFrame:
+    """many joined with few on keys. few has one row for each key, and in `times` how many of the `total` rows of many
+    have it. Frequent keys, HOT at most, go by broadcast, so that the rows of a key that a third of all rows share stay in
+    the tasks where they are; the others are shuffled."""
+    often = F.col(times) * HOT > total
+    hot = few.where(often)
+    there = many.join(F.broadcast(hot), keys)
+    rest = many.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(few.where(~often), keys)
+    return there.unionByName(rest)
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -126,21 +163,21 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, root) for every node of the undirected edges (a, b); root is the smallest node of its component.
 
     Every round takes the smallest label among the neighbours, then the label of that label, so that labels
-    travel twice as far each time. No round gathers a component: all steps are joins and partial aggregations.
+    travel twice as far each time. No round gathers a component: all steps are joins and partial aggregations, and nodes
+    with very many edges are joined where their edges are.
     """
-    spark = edges.sparkSession
     both = materialize(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), f"{name}-edges")
-    labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("root")), f"{name}-labels")
-    while True:
-        near = (
-            both.join(labels, both.b == labels.node)
-            .groupBy(F.col("a").alias("node"))
-            .agg(F.min("root").alias("seen"))
-        )
-        low = labels.join(near, "node").select("node", F.col("root").alias("was"), F.least("root", "seen").alias("low"))
+    total = both.count()
+    table = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("root"), F.count("*").alias("times"), F.lit(True).alias("moved")), f"{name}-labels")
+    while not table.where("moved").isEmpty():
+        labels = table.drop("moved")
+        met = join_frequent(both.withColumnRenamed("b", "node"), labels, ["node"], total)
+        near = met.groupBy(F.col("a").alias("node")).agg(F.min("root").alias("seen"))
+        low = labels.join(near, "node").select("node", "times", F.col("root").alias("was"), F.least("root", "seen").alias("low"))
         hop = labels.select(F.col("node").alias("low"), F.col("root").alias("via"))
-        stepped = low.join(hop, "low").select("node", "was", F.least("low", "via").alias("root"))
-        stepped = materialize(stepped.select("node", "root", (F.col("root") != F.col("was")).alias("moved")), f"{name}-labels")
-        labels = stepped.select("node", "root")
-        if stepped.where("moved").isEmpty():
-            return labels
+        stepped = low.join(hop, "low").select("node", F.least("low", "via").alias("root"), "times", (F.least("low", "via") != F.col("was")).alias("moved"))
+        stepped = materialize(stepped, f"{name}-labels")
+        discard(table)
+        table = stepped
+    discard(both)
+    return table.select("node", "root")

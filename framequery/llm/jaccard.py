@@ -1,16 +1,21 @@
-"""N-gram Jaccard join with MinHash banding and exact verification.
+"""N-gram Jaccard join: an LSH forest of MinHash signatures, and exact verification.
 
 Texts become sets of SHINGLE-word shingles (lower case, punctuation aside). Equal sets are settled by a digest of the
-set; one document of each such class goes on. Its MinHash signature is cut into TREES labels of DEPTH values each. The
-longest prefix with which documents at the threshold meet in some tree with the target recall follows from the
-parameters alone; the prefixes of that length are the buckets, so this is fixed banding and no LSH forest: no label is
-sorted and no prefix depends on the data.
-
-Buckets are not expanded into pairs. Each member is tied to the least member of its bucket, the components of those
-ties are the candidate groups, and each group is verified exactly: its sets, dealt into blocks of bounded size, meet
-block by block, and intersections of a pair of blocks are counted by one matrix product. A pair of blocks gives back at
-most one row for each of its documents, with its number of links, and the ties of a spanning forest; pairs never become
-rows. Classes are the components of the verified ties.
+set; one document of each such class goes on. Its MinHash signature is cut into TREES labels of DEPTH values each.
+
+Forest: the labels of all trees are sorted, dealt by ranges with the set as the last sort key, so that no prefix is one
+task's. A pass over the sorted labels leaves those that share their first SHORTEST values with a neighbour; all others
+are alone in their branch. The nodes of the prefix tries are then cut one by one: a prefix is as short as it can be for
+its node to hold SMALL sets or fewer, down to SHORTEST; what holds more stays apart by up to DEPTH values. Each set's
+recall follows from the depths at which its own branches are cut, 1 - product(1 - threshold**depth). Where that is below
+the target, the longest of the set's prefixes are shortened, for all sets of the node, until it is met: two sets at the
+threshold are missed with probability 1 - RECALL at most, and nearly always far less.
+
+The sets of a node are tied to its least one, and components of ties are the candidate groups, verified exactly. A
+group's sets are dealt into blocks along their sorted labels; of a group of several blocks, only blocks that have sets
+of one node meet. Intersections of two blocks are counted by matrix products. A pair of blocks gives back at most one
+row for each of its sets, with its number of links, and the ties of a spanning forest; pairs never become rows. Classes
+are the components of the verified ties.
 
 Defined results: a null text is empty; texts without words form one class by equality and have no links to others;
 texts of fewer than five words are one shingle; each row of docs gets its row, repeated rows count as copies; a null id
@@ -22,18 +27,23 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from math import log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ROLL_BASES, Rolling, components, hash_memo, map_arrow, materialize, utf8, word_hashes, word_table
+from .common import ROLL_BASES, Rolling, components, hash_memo, join_frequent, map_arrow, materialize, own_name, utf8, word_hashes, word_table
 
 SHINGLE, THRESHOLD = 5, 0.8
 TREES, DEPTH, RECALL = 24, 6, 0.9999
-#: Shingles in a block of a candidate group, about; a longer document is a block by itself.
-BLOCK = 1 << 18
+#: No prefix is shorter than so many values; nodes of SMALL sets or fewer are cut as short as that.
+SHORTEST, SMALL = 3, 32
+#: Bytes of a value of a label, and of the number of its tree before it.
+VALUE, TREE = 2, 1
+#: Shingles in a block of a candidate group, about; a set counts as BLOCK / MOST of them at least.
+BLOCK, MOST = 1 << 17, 512
 #: Columns of a matrix product at once.
 CHUNK = 4096
 
@@ -45,7 +55,7 @@ _ADD = _ROUND.integers(1 << 32, size=TREES * DEPTH, dtype=np.uint32)[:, None]
 
 
 def matched_depth(threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> int:
-    """The longest prefix that pairs at the threshold share in some tree with at least the target recall."""
+    """The longest prefix with which all trees together reach the target recall at the threshold."""
     for k in range(depth, 0, -1):
         if 1 - (1 - threshold**k) ** trees >= recall:
             return k
@@ -69,13 +79,12 @@ def signature(s: np.ndarray) -> np.ndarray:
     return best.reshape(TREES, DEPTH)
 
 
-def bucket_keys(sig: np.ndarray, depth: int) -> np.ndarray:
-    """One 64-bit key for each tree: its number and the first `depth` values of its label."""
-    key = np.arange(1, len(sig) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    for j in range(depth):
-        key = (key ^ sig[:, j]) * np.uint64(0xBF58476D1CE4E5B9)
-        key ^= key >> np.uint64(29)
-    return key
+def labels_of(sig: np.ndarray) -> bytes:
+    """The labels of all trees, one after the other: the tree's number and the low bytes of its values."""
+    out = np.empty((len(sig), TREE + VALUE * sig.shape[1]), np.uint8)
+    out[:, 0] = np.arange(len(sig))
+    out[:, TREE:] = sig.astype(f">u{VALUE}").view(np.uint8).reshape(len(sig), -1)
+    return out.tobytes()
 
 
 def intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -123,68 +132,145 @@ def text_hash(text_col: str) -> Column:
     return F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
 
 
-def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, text_hash, set_id, n_shingles, keys): the digest of each row's set of shingles and its bucket in each tree."""
-    depth = matched_depth(threshold)
+def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, text_hash, set_id, n_shingles, labels): the digest of each row's set of shingles and its labels."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, roll = hash_memo(), Rolling(ROLL_BASES[0])
         for batch in batches:
-            sets, sizes, keys = [], [], []
+            sets, sizes, labels = [], [], []
             for text in utf8(batch.column(1)):
                 s = shingles(text, memo, roll)
-                sets.append(hashlib.blake2b(s.tobytes() if len(s) else b"no words", digest_size=16).hexdigest())
+                sets.append(set_digest(s))
                 sizes.append(len(s))
-                keys.append(bucket_keys(signature(s), depth).view(np.int64) if len(s) else [])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sets, pa.string()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "text_hash", "set_id", "n_shingles", "keys"])
+                labels.append(labels_of(signature(s)) if len(s) else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sets, pa.binary()), pa.array(sizes, pa.int64()), pa.array(labels, pa.binary())], names=["doc_id", "text_hash", "set_id", "n_shingles", "labels"])
 
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), text_hash(text_col).alias("text_hash"))
-    return map_arrow(picked, run, "doc_id long, text_hash long, set_id string, n_shingles long, keys array<long>")
+    return map_arrow(picked, run, "doc_id long, text_hash long, set_id binary, n_shingles long, labels binary")
+
+
+def set_digest(s: np.ndarray) -> bytes:
+    return hashlib.blake2b(s.tobytes() if len(s) else b"no words", digest_size=16).digest()
+
+
+def prefix(depth: int) -> Column:
+    return F.substring("label", 1, TREE + VALUE * depth)
+
+
+def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of sorted (label, set_id), those that share their first SHORTEST values with the label before or after them, and
+    both ends of the task's range, whose neighbours are in other tasks. One row waits for the next batch."""
+    width, held, tied, first = TREE + VALUE * SHORTEST, None, True, True
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks()
+        starts = np.frombuffer(b"".join(x[:width] for x in rows.column("label").to_pylist()), np.uint8).reshape(-1, width)
+        same = (starts[1:] == starts[:-1]).all(axis=1)
+        keep = np.concatenate([[tied], same])  # as the one before
+        keep[:-1] |= same
+        tied, first = (True if first and len(keep) == 1 else bool(keep[-1])), False
+        yield from rows.slice(0, len(keep) - 1).filter(pa.array(keep[:-1])).to_batches()
+        held = rows.slice(len(keep) - 1).to_batches()[0]
+    if held is not None:
+        yield held
+
+
+def forest_nodes(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(prefix, set_id, head): the sets of the forest's cut nodes that hold more than one, with the least of them."""
+    spark = sets.sparkSession
+    width, n = TREE + VALUE * DEPTH, int(spark.conf.get("spark.sql.shuffle.partitions"))
+    one = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda k: F.substring("labels", k * width + 1, F.lit(width)))
+    line = sets.where("n_shingles > 0").select(F.explode(one).alias("label"), "set_id").repartitionByRange(n, "label", "set_id").sortWithinPartitions("label", "set_id")
+    rows = materialize(map_arrow(line, neighbours, "label binary, set_id binary"), "forest")
+
+    levels, cut = {}, []
+    for depth in range(SHORTEST, DEPTH + 1):  # the branches that are too large at one depth are looked at one further down
+        total = rows.count()
+        if depth > SHORTEST and not total:
+            break
+        here = rows.withColumn("prefix", prefix(depth))
+        nodes = here.groupBy("prefix").agg(F.count("*").alias("times"), F.min("set_id").alias("head"))
+        levels[depth] = level = materialize(join_frequent(here, nodes, ["prefix"], total), f"forest-{depth}")
+        large = (F.col("times") > SMALL) if depth < DEPTH else F.lit(False)
+        cut.append(level.where(~large).withColumn("depth", F.lit(depth)))
+        rows = level.where(large).select("label", "set_id")
+
+    cuts = cut[0]
+    for x in cut[1:]:
+        cuts = cuts.unionByName(x)
+    # branches without a row are cut at SHORTEST: nobody else is in them
+    miss = {d: log(1 - threshold**d) for d in range(SHORTEST, DEPTH + 1)}
+    gain = F.element_at(F.create_map(*[F.lit(x) for d in miss for x in (d, miss[d] - miss[SHORTEST])]), F.col("depth"))
+    for depth in range(max(levels), matched_depth(threshold), -1):
+        lost = cuts.where(F.col("depth") > SHORTEST).groupBy("set_id").agg((F.sum(gain) + TREES * miss[SHORTEST]).alias("miss"))
+        short = lost.where(F.col("miss") > log(1 - RECALL)).select("set_id")
+        wider = cuts.where(F.col("depth") == depth).join(short, "set_id", "left_semi").select(prefix(depth - 1).alias("prefix")).distinct()
+        wider = materialize(wider.join(levels[depth - 1].groupBy("prefix").agg(F.count("*").alias("n")), "prefix"), "forest-shortened")
+        back = join_frequent(levels[depth - 1], wider, ["prefix"], levels[depth - 1].count(), "n").drop("n").withColumn("depth", F.lit(depth - 1))
+        stay = cuts.withColumn("up", F.when(F.col("depth") == depth, prefix(depth - 1))).join(wider.select(F.col("prefix").alias("up")), "up", "left_anti").drop("up")
+        cuts = materialize(stay.unionByName(back), "forest-cut")
+    return cuts.where("times > 1").select("prefix", "set_id", "head")
 
 
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, set_id, class_id (the least id of the class), n_links for each row of docs."""
-    return _classes(docs, id_col, text_col, threshold).select("doc_id", "set_id", "class_id", "n_links")
+    return _classes(docs, id_col, text_col, threshold).select("doc_id", F.lower(F.hex("set_id")).alias("set_id"), "class_id", "n_links")
+
+
+def _blocks(members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(grp, i, j, block, set_id, copies) for each pair of blocks i <= j that meet and the sets of either."""
+    spark = members.sparkSession
+    weighed = members.withColumn("weight", F.greatest("n_shingles", F.lit(BLOCK // MOST)))
+    mass = materialize(weighed.groupBy("grp").agg(F.sum("weight").alias("mass"), F.count("*").alias("times")), "masses")
+    total = members.count()
+    small = join_frequent(weighed, mass.where(F.col("mass") <= BLOCK).drop("mass"), ["grp"], total)
+    zero = F.lit(0).cast("long")
+    small = small.select("grp", zero.alias("i"), zero.alias("j"), zero.alias("block"), "set_id", "copies")
+    large = join_frequent(weighed, mass.where(F.col("mass") > BLOCK).drop("mass"), ["grp"], total)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = materialize(large.repartitionByRange(n, "grp", "labels", "set_id").withColumn("part", F.spark_partition_id()), "large-groups")
+    along = Window.partitionBy("part", "grp").orderBy("labels", "set_id")
+    number = F.col("part").cast("long") * (1 << 32) + F.floor((F.sum("weight").over(along) - 1) / BLOCK)
+    dealt = materialize(ranged.select("grp", "set_id", "copies", number.cast("long").alias("block")), "blocks")
+    touched = nodes.join(dealt.select("set_id", "grp", "block"), "set_id").select("prefix", "grp", "block").distinct()
+    other = touched.select("prefix", F.col("block").alias("other"))
+    meet = touched.join(other, "prefix").where("block <= other").select("grp", F.col("block").alias("i"), F.col("other").alias("j")).distinct()
+    sides = meet.select("grp", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
+    return small.unionByName(dealt.join(sides, ["grp", "block"]).select(*small.columns))
 
 
 def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
     """jaccard_classes with text_hash, and root, which tells classes apart where they share their least id."""
-    signed = materialize(signatures(docs, id_col, text_col, threshold), "signatures")
-    # classes of equal sets; `rep` numbers them: an id of the class, or for null ids one below all others
-    sets = signed.groupBy("set_id").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("keys").alias("keys"))
-    sets = materialize(sets.withColumn("rep", F.xxhash64("set_id")), "sets")
-
-    rows = sets.where("n_shingles > 0").select("rep", F.explode("keys").alias("key"))
-    heads = rows.groupBy("key").agg(F.min("rep").alias("head"), F.max("rep").alias("tail")).where("head < tail").drop("tail")
-    ties = rows.join(heads, "key").where("rep > head").select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct()
+    signed = materialize(signatures(docs, id_col, text_col), "signatures")
+    # one row for each set; `one` names a row with it
+    one = F.struct("doc_id", "text_hash")
+    sets = signed.groupBy("set_id").agg(F.min("doc_id").alias("least"), F.min(one).alias("one"), F.count("*").alias("copies"), F.min("n_shingles").alias("n_shingles"), F.min("labels").alias("labels"))
+    sets = materialize(sets, "sets")
+    nodes = materialize(forest_nodes(sets, threshold), "nodes")
+    ties = nodes.where("set_id > head").select(F.col("head").alias("a"), F.col("set_id").alias("b")).distinct()
     groups = components(ties, "candidates")
 
-    members = sets.select("rep", "least", "n_shingles", "copies").join(groups, F.col("rep") == F.col("node")).select("rep", "least", "n_shingles", "copies", F.col("root").alias("grp"))
-    members = materialize(members, "members")
-    mass = members.groupBy("grp").agg(F.ceil(F.sum("n_shingles") / F.lit(BLOCK)).cast("int").alias("blocks"))
-    dealt = members.join(mass, "grp").withColumn("block", F.pmod(F.hash("rep"), F.col("blocks")))
-    # a block meets itself and every other one once
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("grp", "rep", "least", "copies", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block")
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    wanted = members.select(F.col("least").alias("doc_id"), "rep", "n_shingles").distinct()
+    members = materialize(sets.join(groups, F.col("set_id") == F.col("node")).select("set_id", "one", "n_shingles", "copies", "labels", F.col("root").alias("grp")), "members")
+    pairs = _blocks(members.drop("one"), nodes)
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, roll = hash_memo(), Rolling(ROLL_BASES[0])
         for batch in batches:
-            reps, sets = [], []
-            for rep, set_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), utf8(batch.column(2)), strict=True):
+            keep, sets = [], []
+            for set_id, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True):
                 s = shingles(text, memo, roll)
-                if hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest() == set_id:
-                    reps.append(rep)
+                if set_digest(s) == set_id:
+                    keep.append(set_id)
                     sets.append(s.view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(reps, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["rep", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array(keep, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], names=["set_id", "shingles"])
 
-    named = wanted.join(sets.select("rep", "set_id"), "rep").select(F.col("doc_id").alias("want"), "rep", "set_id")
-    full = texts.join(named.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("want"))).select("rep", "set_id", "text")
-    full = map_arrow(full, shingled, "rep long, shingles array<long>")
-    full = materialize(full, "shingles").dropDuplicates(["rep"])
-    met = dealt.join(full, "rep").select("grp", "i", "j", "block", "rep", "copies", "shingles")
+    wanted = members.select(F.col("one.doc_id").alias("want"), F.col("one.text_hash").alias("hash"), "set_id")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), text_hash(text_col).alias("text_hash"))
+    full = texts.join(wanted.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("want")) & (F.col("text_hash") == F.col("hash"))).select("set_id", "text")
+    full = materialize(map_arrow(full, shingled, "set_id binary, shingles array<long>"), "shingles").dropDuplicates(["set_id"])
+    met = pairs.join(full, "set_id").select("grp", "i", "j", "block", "set_id", "copies", "shingles")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def close(key, rows):
@@ -207,52 +293,51 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> D
                 n = len(left)
                 square = np.zeros((n + len(right),) * 2, bool)
                 square[:n, n:], square[n:, :n] = linked, linked.T
-            reps = [r[1] for r in left] + ([r[1] for r in right] if i != j else [])
-            out += [(rep, None, int(g)) for rep, g in zip(reps, gained.tolist(), strict=True) if g]
-            out += [(reps[u], reps[v], 0) for u, v in forest(square)]
+            names = [r[1] for r in left] + ([r[1] for r in right] if i != j else [])
+            out += [(name, None, int(g)) for name, g in zip(names, gained.tolist(), strict=True) if g]
+            out += [(names[u], names[v], 0) for u, v in forest(square)]
             return out
 
         key, rows = None, []
         for batch in batches:
             out: list[tuple] = []
-            for g, i, j, block, rep, copies, shingle in zip(*(batch.column(c).to_pylist() for c in range(6)), batch.column(6), strict=True):
+            for g, i, j, block, name, copies, shingle in zip(*(batch.column(c).to_pylist() for c in range(6)), batch.column(6), strict=True):
                 if (g, i, j) != key:
                     if rows:
                         out += close(key, rows)
                     key, rows = (g, i, j), []
-                rows.append((block, rep, copies, shingle.values.to_numpy(zero_copy_only=False).view(np.uint64).copy()))
+                rows.append((block, name, copies, shingle.values.to_numpy(zero_copy_only=False).view(np.uint64).copy()))
             yield _ties(out)
         if rows:
             yield _ties(close(key, rows))
 
     # all rows of a pair of blocks are together, in a row, in one partition; a pair holds about two BLOCKs
     together = met.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j")
-    found = materialize(map_arrow(together, verify, "a long, b long, gained long"), "verified")
+    found = materialize(map_arrow(together, verify, "a binary, b binary, gained long"), "verified")
     classes = components(found.where("b is not null").select("a", "b"), "classes")
-    gained = found.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("gained").alias("gained"))
-    named = sets.select("rep", "set_id", "least", "copies").join(classes, F.col("rep") == F.col("node"), "left").drop("node").join(gained, "rep", "left")
-    named = named.withColumn("root", F.coalesce("root", "rep"))
+    gained = found.where("b is null").groupBy(F.col("a").alias("set_id")).agg(F.sum("gained").alias("gained"))
+    named = sets.select("set_id", "least", "copies").join(classes, F.col("set_id") == F.col("node"), "left").drop("node").join(gained, "set_id", "left")
+    named = named.withColumn("root", F.coalesce("root", "set_id"))
     first = named.groupBy("root").agg(F.min("least").alias("class_id"))
-    named = named.join(first, "root").select("set_id", "root", "class_id", (F.col("copies") - 1 + F.coalesce("gained", F.lit(0))).cast("long").alias("n_links"))
-    return signed.select("doc_id", "text_hash", "set_id").join(named, "set_id").select("doc_id", "text_hash", "set_id", "root", "class_id", "n_links")
+    named = named.join(first, "root").select("set_id", "root", "class_id", "copies", (F.col("copies") - 1 + F.coalesce("gained", F.lit(0))).cast("long").alias("n_links"))
+    named = materialize(named, "classes")
+    out = join_frequent(signed.select("doc_id", "text_hash", "set_id"), named, ["set_id"], signed.count(), "copies")
+    return out.select("doc_id", "text_hash", "set_id", "root", "class_id", "n_links")
 
 
 def _ties(rows: list[tuple]) -> pa.RecordBatch:
     columns = list(zip(*rows, strict=True)) or [()] * 3
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b", "gained"])
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.binary(), pa.int64()), strict=True)], names=["a", "b", "gained"])
 
 
 def one_row_of_each_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """docs, with all its columns, with one row of each class: of the rows with the least id, nulls last, the one with
-    the least set and text. Rows that share an id or have none stay as long as their classes differ."""
+    the least set and text. Rows that share an id or have none stay as long as their classes differ; of rows with the same
+    id and text one stays. An empty table gives no rows."""
     classes = _classes(docs, id_col, text_col, threshold)
+    own, stays, hashed = own_name("own"), own_name("stays"), own_name("hash")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "set_id", "text_hash")
-    stay = classes.groupBy("root").agg(F.min(order).alias("least")).select(F.col("least.doc_id").alias("__stay"), F.col("least.text_hash").alias("__hash"))
-    told = docs.withColumn("__own", text_hash(text_col))
-    same = told[id_col].cast("long").eqNullSafe(F.col("__stay")) & (F.col("__own") == F.col("__hash"))
-    return told.join(stay.hint("shuffle_hash"), same).dropDuplicates([id_col, "__own"]).select(*docs.columns)
-
-
-def one_of_each_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """one_row_of_each_class for tables whose ids are unique and not null; of rows that share an id one stays."""
-    return one_row_of_each_class(docs, id_col, text_col, threshold).dropDuplicates([id_col])
+    stay = classes.groupBy("root").agg(F.min(order).alias("least")).select(F.col("least.doc_id").alias(stays), F.col("least.text_hash").alias(hashed))
+    told = docs.withColumn(own, text_hash(text_col))
+    same = told[id_col].cast("long").eqNullSafe(F.col(stays)) & (F.col(own) == F.col(hashed))
+    return told.join(stay.hint("shuffle_hash"), same).dropDuplicates([id_col, own]).select(*docs.columns)

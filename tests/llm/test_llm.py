@@ -10,6 +10,7 @@ from pathlib import Path
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -178,15 +179,15 @@ def test_jaccard_join(spark, docs, rows, odd, empty):
     assert got == want
     assert jaccard.jaccard_classes(odd).count() == odd.count()
     assert jaccard.jaccard_classes(empty).count() == 0
-    stay = jaccard.one_of_each_class(odd)
+    stay = jaccard.one_row_of_each_class(odd)
     assert set(stay.columns) == set(odd.columns)
-    left = [r["doc_id"] for r in stay.collect()]
-    assert len(left) == len(set(left)) and set(left) >= {c for c, _ in want.values() if c is not None} - {3}
+    assert {r["doc_id"] for r in stay.collect()} >= {c for c, _ in want.values() if c is not None} - {3}
 
 
 def test_jaccard_blocks(spark, docs, rows, monkeypatch):
     whole = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in jaccard.jaccard_classes(docs).collect()}
     monkeypatch.setattr(jaccard, "BLOCK", 300)  # groups fall into many blocks
+    monkeypatch.setattr(jaccard, "MOST", 3)
     assert {r["doc_id"]: (r["class_id"], r["n_links"]) for r in jaccard.jaccard_classes(docs).collect()} == whole
 
 
@@ -194,13 +195,75 @@ def test_jaccard_depth_and_recall():
     k = jaccard.matched_depth()
     assert 1 - (1 - 0.8**k) ** jaccard.TREES >= jaccard.RECALL > 1 - (1 - 0.8 ** (k + 1)) ** jaccard.TREES
     rng, found = np.random.default_rng(0), 0
+    width, use = jaccard.TREE + jaccard.VALUE * jaccard.DEPTH, jaccard.TREE + jaccard.VALUE * k
     for _ in range(300):
         common_part = rng.integers(0, 2**63, 160, dtype=np.uint64)
-        a, b = (np.unique(np.concatenate([common_part, rng.integers(0, 2**63, 20, dtype=np.uint64)])) for _ in range(2))
-        found += bool((jaccard.bucket_keys(jaccard.signature(a), k) == jaccard.bucket_keys(jaccard.signature(b), k)).any())
+        a, b = (jaccard.labels_of(jaccard.signature(np.unique(np.concatenate([common_part, rng.integers(0, 2**63, 20, dtype=np.uint64)])))) for _ in range(2))
+        found += any(a[t : t + use] == b[t : t + use] for t in range(0, len(a), width))
     assert found >= 298
 
 
+def test_sorted_labels_meet_their_neighbours():
+    rng = random.Random(17)
+    rows = sorted((bytes([rng.randrange(2)]) + bytes(rng.choice(b"ab") for _ in range(12)), bytes([k])) for k in range(200))
+    width = jaccard.TREE + jaccard.VALUE * jaccard.SHORTEST
+    count = Counter(x[:width] for x, _ in rows)
+    for cuts in ([200], [1, 1, 2, 96, 0, 100], [1] * 200):
+        batches, at = [], 0
+        for n in cuts:
+            part = rows[at : at + n]
+            batches.append(pa.RecordBatch.from_arrays([pa.array([x for x, _ in part], pa.binary()), pa.array([x for _, x in part], pa.binary())], names=["label", "set_id"]))
+            at += n
+        got = [(x["label"], x["set_id"]) for b in jaccard.neighbours(iter(batches)) for x in b.to_pylist()]
+        assert got == [r for k, r in enumerate(rows) if count[r[0][:width]] > 1 or k in (0, len(rows) - 1)]
+    assert list(jaccard.neighbours(iter([]))) == []
+
+
+def near_copies(n, rng):
+    """Texts of one large group in which similarities fall all around the threshold."""
+    base = [f"w{k}" for k in range(100)]
+    out = []
+    for _ in range(n):
+        w = list(base)
+        for _ in range(rng.randrange(1, 5)):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(10**6)}"
+        out.append(" ".join(w))
+    return out
+
+
+@pytest.mark.parametrize("small", [2, 8, 32])
+def test_forest_shortens_until_the_recall_is_met(spark, monkeypatch, small):
+    rows = list(enumerate(near_copies(80, random.Random(23))))
+    sets = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(jaccard, "SMALL", small)
+    signed = jaccard.signatures(sets).withColumnRenamed("text_hash", "h").distinct()
+    nodes = jaccard.forest_nodes(signed).collect()
+    depth, members = defaultdict(dict), defaultdict(set)
+    width = jaccard.TREE + jaccard.VALUE * jaccard.DEPTH
+    label = {bytes(r["set_id"]): [bytes(r["labels"])[t : t + width] for t in range(0, width * jaccard.TREES, width)] for r in signed.collect()}
+    for r in nodes:
+        p = bytes(r["prefix"])
+        members[p].add(bytes(r["set_id"]))
+        depth[bytes(r["set_id"])][p[0]] = (len(p) - jaccard.TREE) // jaccard.VALUE
+        assert r["head"] == min(x for x in label if label[x][p[0]].startswith(p))
+    for p, sets_of in members.items():  # a node holds all sets with its prefix
+        assert sets_of == {x for x in label if label[x][p[0]].startswith(p)}
+    for x, trees in label.items():
+        miss = 1.0
+        for t in range(jaccard.TREES):
+            if t in depth[x]:
+                miss *= 1 - 0.8 ** depth[x][t]
+            else:  # alone: its branch is cut where it is alone, as short as that may be
+                alone = next((d for d in range(jaccard.SHORTEST, jaccard.DEPTH + 1) if not any(y != x and label[y][t].startswith(trees[t][: jaccard.TREE + jaccard.VALUE * d]) for y in label)), jaccard.DEPTH)
+                miss *= 1 - 0.8**alone
+        assert 1 - miss >= jaccard.RECALL - 1e-9
+    assert max(max(d.values()) for d in depth.values()) > jaccard.SHORTEST or small == 32
+    links = brute.near_pairs(rows)
+    number = Counter(x for p in links for x in p)
+    got = {r["doc_id"]: r["n_links"] for r in jaccard.jaccard_classes(sets).collect()}
+    assert got == {i: number[i] for i, _ in rows}
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(i, i + 1) for i in range(60)] + [(100 + rng.randrange(50), 100 + rng.randrange(50)) for _ in range(30)]
