@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: A task holds at most this many bytes of text at once besides the row that it works on.
@@ -37,12 +37,14 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/llm/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes df into the shared folder and reads it back: cuts the lineage and survives lost executors."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
+def materialize(df: DataFrame, name: str, **observed: Column) -> DataFrame:
+    """Writes df into the shared folder and reads it back: cuts the lineage and survives lost executors. Aggregates named
+    in `observed` are taken along the write and are in the result's `observed`."""
+    path, watch = fresh_path(df.sparkSession, name), Observation()
+    plan = df.observe(watch, *[c.alias(k) for k, c in observed.items()]) if observed else df
+    plan.write.parquet(path)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
-    back._written = path
+    back._written, back.observed = path, watch.get if observed else {}
     return back
 
 
@@ -166,18 +168,19 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     travel twice as far each time. No round gathers a component: all steps are joins and partial aggregations, and nodes
     with very many edges are joined where their edges are.
     """
-    both = materialize(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), f"{name}-edges")
-    total = both.count()
-    table = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("root"), F.count("*").alias("times"), F.lit(True).alias("moved")), f"{name}-labels")
-    while not table.where("moved").isEmpty():
-        labels = table.drop("moved")
-        met = join_frequent(both.withColumnRenamed("b", "node"), labels, ["node"], total)
+    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
+    both = materialize(both, f"{name}-edges", rows=F.count(F.lit(1)))
+    table = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("root"), F.count("*").alias("times")), f"{name}-labels")
+    moved = both.observed["rows"]
+    while moved:
+        met = join_frequent(both.withColumnRenamed("b", "node"), table, ["node"], both.observed["rows"])
         near = met.groupBy(F.col("a").alias("node")).agg(F.min("root").alias("seen"))
-        low = labels.join(near, "node").select("node", "times", F.col("root").alias("was"), F.least("root", "seen").alias("low"))
-        hop = labels.select(F.col("node").alias("low"), F.col("root").alias("via"))
-        stepped = low.join(hop, "low").select("node", F.least("low", "via").alias("root"), "times", (F.least("low", "via") != F.col("was")).alias("moved"))
-        stepped = materialize(stepped, f"{name}-labels")
+        low = table.join(near, "node").select("node", "times", F.col("root").alias("was"), F.least("root", "seen").alias("low"))
+        hop = table.select(F.col("node").alias("low"), F.col("root").alias("via"))
+        stepped = low.join(hop, "low").select("node", F.least("low", "via").alias("root"), "times", "was")
+        stepped = materialize(stepped, f"{name}-labels", moved=F.count_if(F.col("root") != F.col("was")))
         discard(table)
-        table = stepped
+        table, moved = stepped.drop("was"), stepped.observed["moved"]
+        table._written = stepped._written
     discard(both)
     return table.select("node", "root")

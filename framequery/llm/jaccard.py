@@ -183,17 +183,18 @@ def forest_nodes(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     width, n = TREE + VALUE * DEPTH, int(spark.conf.get("spark.sql.shuffle.partitions"))
     one = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda k: F.substring("labels", k * width + 1, F.lit(width)))
     line = sets.where("n_shingles > 0").select(F.explode(one).alias("label"), "set_id").repartitionByRange(n, "label", "set_id").sortWithinPartitions("label", "set_id")
-    rows = materialize(map_arrow(line, neighbours, "label binary, set_id binary"), "forest")
+    rows = materialize(map_arrow(line, neighbours, "label binary, set_id binary"), "forest", rows=F.count(F.lit(1)))
+    total, totals = rows.observed["rows"], {}
 
     levels, cut = {}, []
     for depth in range(SHORTEST, DEPTH + 1):  # the branches that are too large at one depth are looked at one further down
-        total = rows.count()
         if depth > SHORTEST and not total:
             break
         here = rows.withColumn("prefix", prefix(depth))
         nodes = here.groupBy("prefix").agg(F.count("*").alias("times"), F.min("set_id").alias("head"))
-        levels[depth] = level = materialize(join_frequent(here, nodes, ["prefix"], total), f"forest-{depth}")
         large = (F.col("times") > SMALL) if depth < DEPTH else F.lit(False)
+        level = materialize(join_frequent(here, nodes, ["prefix"], total), f"forest-{depth}", large=F.count_if(large))
+        levels[depth], totals[depth], total = level, total, level.observed["large"]
         cut.append(level.where(~large).withColumn("depth", F.lit(depth)))
         rows = level.where(large).select("label", "set_id")
 
@@ -208,7 +209,7 @@ def forest_nodes(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         short = lost.where(F.col("miss") > log(1 - RECALL)).select("set_id")
         wider = cuts.where(F.col("depth") == depth).join(short, "set_id", "left_semi").select(prefix(depth - 1).alias("prefix")).distinct()
         wider = materialize(wider.join(levels[depth - 1].groupBy("prefix").agg(F.count("*").alias("n")), "prefix"), "forest-shortened")
-        back = join_frequent(levels[depth - 1], wider, ["prefix"], levels[depth - 1].count(), "n").drop("n").withColumn("depth", F.lit(depth - 1))
+        back = join_frequent(levels[depth - 1], wider, ["prefix"], totals[depth - 1], "n").drop("n").withColumn("depth", F.lit(depth - 1))
         stay = cuts.withColumn("up", F.when(F.col("depth") == depth, prefix(depth - 1))).join(wider.select(F.col("prefix").alias("up")), "up", "left_anti").drop("up")
         cuts = materialize(stay.unionByName(back), "forest-cut")
     return cuts.where("times > 1").select("prefix", "set_id", "head")
@@ -223,8 +224,8 @@ def _blocks(members: DataFrame, nodes: DataFrame) -> DataFrame:
     """(grp, i, j, block, set_id, copies) for each pair of blocks i <= j that meet and the sets of either."""
     spark = members.sparkSession
     weighed = members.withColumn("weight", F.greatest("n_shingles", F.lit(BLOCK // MOST)))
-    mass = materialize(weighed.groupBy("grp").agg(F.sum("weight").alias("mass"), F.count("*").alias("times")), "masses")
-    total = members.count()
+    mass = materialize(weighed.groupBy("grp").agg(F.sum("weight").alias("mass"), F.count("*").alias("times")), "masses", total=F.sum("times"))
+    total = mass.observed["total"] or 0
     small = join_frequent(weighed, mass.where(F.col("mass") <= BLOCK).drop("mass"), ["grp"], total)
     zero = F.lit(0).cast("long")
     small = small.select("grp", zero.alias("i"), zero.alias("j"), zero.alias("block"), "set_id", "copies")
@@ -243,7 +244,7 @@ def _blocks(members: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
     """jaccard_classes with text_hash, and root, which tells classes apart where they share their least id."""
-    signed = materialize(signatures(docs, id_col, text_col), "signatures")
+    signed = materialize(signatures(docs, id_col, text_col), "signatures", rows=F.count(F.lit(1)))
     # one row for each set; `one` names a row with it
     one = F.struct("doc_id", "text_hash")
     sets = signed.groupBy("set_id").agg(F.min("doc_id").alias("least"), F.min(one).alias("one"), F.count("*").alias("copies"), F.min("n_shingles").alias("n_shingles"), F.min("labels").alias("labels"))
@@ -321,7 +322,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> D
     first = named.groupBy("root").agg(F.min("least").alias("class_id"))
     named = named.join(first, "root").select("set_id", "root", "class_id", "copies", (F.col("copies") - 1 + F.coalesce("gained", F.lit(0))).cast("long").alias("n_links"))
     named = materialize(named, "classes")
-    out = join_frequent(signed.select("doc_id", "text_hash", "set_id"), named, ["set_id"], signed.count(), "copies")
+    out = join_frequent(signed.select("doc_id", "text_hash", "set_id"), named, ["set_id"], signed.observed["rows"], "copies")
     return out.select("doc_id", "text_hash", "set_id", "root", "class_id", "n_links")
 
 
