@@ -62,7 +62,7 @@ def own_name(name: str) -> str:
 
 
 #: A key of more than one in HOT of all rows is frequent, so at most HOT keys are.
-HOT = 10_000
+HOT = 2_000
 
 
 def join_frequent(many: DataFrame, few: DataFrame, keys: list[str], total: int, times: str = "times") -> DataFrame:
@@ -161,6 +161,24 @@ def word_table() -> bytes:
     return bytes(out)
 
 
+def join_spread(many: DataFrame, few: DataFrame, keys: list[str], total: int, times: str = "times", how: str = "inner", small: bool = False) -> DataFrame:
+    """As join_frequent (or a left join), for rows that are costly to compute: many is read once, and rows of frequent
+    keys, whose partners come by broadcast, are dealt over all tasks by a salt instead of by their key. If `small`, a
+    task's share of few fits in its memory, so that many isn't sorted."""
+    salt, found = own_name("salt"), own_name("found")
+    values = [c for c in few.columns if c not in keys]
+    sides = [few.select(*keys, F.struct(*values).alias(own_name("hot"))) for _ in range(2)]
+    hot, rest = (side.columns[-1] for side in sides)
+    near = sides[0].where(F.col(f"{hot}.{times}") * HOT > total)
+    far = sides[1].where(F.col(f"{rest}.{times}") * HOT <= total).withColumn(salt, F.lit(0).cast("long"))
+    told = many.join(F.broadcast(near), keys, "left")
+    told = told.withColumn(salt, F.when(F.col(hot).isNull(), F.lit(0).cast("long")).otherwise(1 + F.monotonically_increasing_id()))
+    far = far.hint("shuffle_hash") if small else far
+    both = told.join(far, [*keys, salt], "left").withColumn(found, F.coalesce(hot, rest))
+    both = both.where(F.col(found).isNotNull()) if how == "inner" else both
+    return both.select(*many.columns, *[F.col(found)[c].alias(c) for c in values])
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, root) for every node of the undirected edges (a, b); root is the smallest node of its component.
 

@@ -1,14 +1,16 @@
 """SimHash fingerprints and the search for all of them within a Hamming radius, with DataFrame operations only.
 
 Terms are runs of five words. Each occurrence of a term votes with its hash, so a term weighs as often as it occurs:
-a bit of the fingerprint is set if more than half of the votes have it. Votes are counted 2 bits to a long, in lanes of
-32 bits, by ordinary sums with partial aggregation.
+a bit of the fingerprint is set if more than half of the votes have it. The votes of CHUNK terms in a row are added up bit
+by bit with full adders on whole hashes, which leaves four numbers for each half; these are counted 2 bits to a long, in
+lanes of 32 bits, by ordinary sums.
 
 Permuted block tables: the 128 bits are cut into BLOCKS blocks. Two fingerprints within RADIUS bits agree on at least
-BLOCKS - RADIUS blocks, so that they meet in the table of some choice of that many blocks. The tables hold distinct
-fingerprints only, so copies of a text cost one entry.
+BLOCKS - RADIUS blocks, so that they meet in the table of some choice of that many blocks, and are counted in the first
+such table. The tables hold distinct fingerprints only, so copies of a text cost one entry. An entry's fingerprints meet
+in lists of about MOST; a fingerprint gets back how many are near it and the least label among them, never the pairs.
 
-Words are runs of `[^\\x20\\x09-\\x0D]`, unchanged. Defined results: a null text is empty; a text without words has the
+Words are runs of `[^\x20\x09-\x0D]`, unchanged. Defined results: a null text is empty; a text without words has the
 fingerprint of 128 zeros; fewer than five words are one term; a tie of votes leaves the bit 0. Rows with the same id and
 text count as one document in the order of documents and each get the same row; among different texts of one id the
 order follows a hash of the text; a null id comes last in descending order. An empty table gives no rows; other columns
@@ -22,11 +24,15 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, materialize
+from .common import discard, join_frequent, materialize
 
 BITS = 128
 RADIUS, BLOCKS = 3, 6
 TERM = 5
+#: Terms whose votes are added up before they are counted; 15 is what four binary digits hold.
+CHUNK = 15
+#: Fingerprints in one list of an entry, about.
+MOST = 512
 #: Stands for a null id; smaller than any id.
 NO_ID = -(1 << 63)
 _LANES = (1 << 32) + 1
@@ -36,26 +42,56 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(text, "[ \t-\r]+"), "")
 
 
+def _added(df: DataFrame, keys: list[str], numbers: dict[tuple[int, int], list[str]]) -> DataFrame:
+    """Adds up the bits of columns place by place: numbers holds the columns of each half of the hash and power of two. In
+    every step three of a power become one, and one of the next power. What is left are the columns p<half>_<power>."""
+    while any(len(c) > 1 for c in numbers.values()):
+        columns, left = [], {}
+        for (half, power), names in numbers.items():
+            for k in range(0, len(names) - len(names) % 3, 3):
+                x, y, z = (F.col(c) for c in names[k : k + 3])
+                step = len(columns)
+                either = x.bitwiseXOR(y)
+                columns += [either.bitwiseXOR(z).alias(f"__s{step}"), x.bitwiseAND(y).bitwiseOR(z.bitwiseAND(either)).alias(f"__c{step}")]
+                left.setdefault((half, power), []).append(f"__s{step}")
+                left.setdefault((half, power + 1), []).append(f"__c{step}")
+            for c in names[len(names) - len(names) % 3 :]:
+                columns.append(F.col(c).alias(f"__k{len(columns)}"))
+                left.setdefault((half, power), []).append(f"__k{len(columns) - 1}")
+        df, numbers = df.select(*keys, *columns), left
+    return df.select(*keys, *[F.col(c[0]).alias(f"__p{half}_{power}") for (half, power), c in numbers.items()])
+
+
 def fingerprint(texts: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """keys and the two halves f1, f2 of the fingerprint of each row's text; keys tell rows apart."""
-    w, n = F.col("__w"), F.greatest(F.size("__w") - (TERM - 1), F.lit(1))
-    runs = F.arrays_zip(*[F.slice(w, F.lit(k + 1), n).alias(f"w{k}") for k in range(TERM)])
-    terms = texts.select(*keys, words_of(F.coalesce(F.col(text), F.lit(""))).alias("__w")).select(*keys, F.explode_outer(runs).alias("__t"))
-    h = F.when(F.col("__t").isNotNull(), F.xxhash64(*[F.col(f"__t.w{k}") for k in range(TERM)]))
-    votes = terms.select(*keys, h.alias("__h1")).select(*keys, "__h1", F.when(F.col("__h1").isNotNull(), F.xxhash64("__h1", F.lit(1))).alias("__h2"))
-    lanes = [F.sum(F.shiftrightunsigned(f"__h{half}", i).bitwiseAND(F.lit(_LANES))).alias(f"__v{half}_{i}") for half in (1, 2) for i in range(32)]
-    counted = votes.groupBy(*keys).agg(F.count("__h1").alias("__n"), *lanes)
-
-    def half(k: int) -> Column:
+    words = texts.select(*keys, words_of(F.coalesce(F.col(text), F.lit(""))).alias("__w"))
+    starts = F.sequence(F.lit(0), F.floor(F.greatest(F.size("__w") - TERM, F.lit(0)) / CHUNK).cast("int"))
+    runs = words.select(*keys, F.explode(F.transform(starts, lambda k: F.slice("__w", k * CHUNK + 1, F.lit(CHUNK + TERM - 1)))).alias("__r"))
+    runs = runs.withColumn("__n", F.greatest(F.size("__r") - (TERM - 1), F.least(F.size("__r"), F.lit(1))))
+    own, zero = [*keys, "__n"], F.lit(0).cast("long")
+    first = [F.when(F.col("__n") > i, F.xxhash64(*[F.get("__r", F.lit(i + k)) for k in range(TERM)])).otherwise(zero).alias(f"__a{i}") for i in range(CHUNK)]
+    votes = runs.select(*own, *first)
+    second = [F.when(F.col("__n") > i, F.xxhash64(f"__a{i}", F.lit(1))).otherwise(zero).alias(f"__b{i}") for i in range(CHUNK)]
+    votes = votes.select("*", *second)
+    added = _added(votes, own, {(half, 0): [f"__{c}{i}" for i in range(CHUNK)] for half, c in ((1, "a"), (2, "b"))})
+
+    def lane(half: int, i: int) -> Column:
+        parts = [F.shiftrightunsigned(f"__p{half}_{power}", i).bitwiseAND(F.lit(_LANES)) * (1 << power) for power in range(CHUNK.bit_length())]
+        return sum(parts[1:], parts[0])
+
+    lanes = [F.sum(lane(half, i)).alias(f"__v{half}_{i}") for half in (1, 2) for i in range(32)]
+    counted = added.groupBy(*keys).agg(F.sum("__n").alias("__n"), *lanes)
+
+    def bits(k: int) -> Column:
         value = F.lit(0).cast("long")
         for i in range(32):
             v = F.col(f"__v{k}_{i}")
-            for lane, bit in ((v.bitwiseAND(F.lit((1 << 32) - 1)), i), (F.shiftrightunsigned(v, 32), i + 32)):
+            for count, bit in ((v.bitwiseAND(F.lit((1 << 32) - 1)), i), (F.shiftrightunsigned(v, 32), i + 32)):
                 one = (1 << bit) - (1 << 64 if bit == 63 else 0)
-                value = value.bitwiseOR(F.when(2 * lane > F.col("__n"), F.lit(one).cast("long")).otherwise(F.lit(0).cast("long")))
+                value = value.bitwiseOR(F.when(2 * count > F.col("__n"), F.lit(one).cast("long")).otherwise(zero))
         return value
 
-    return counted.select(*keys, half(1).alias("f1"), half(2).alias("f2"))
+    return counted.select(*keys, bits(1).alias("f1"), bits(2).alias("f2"))
 
 
 def distance(a1: Column, a2: Column, b1: Column, b2: Column) -> Column:
@@ -78,16 +114,48 @@ def block_tables(radius: int = RADIUS, blocks: int = BLOCKS) -> list[list[tuple[
     return [(signed((m := sum(chosen)) & (1 << 64) - 1), signed(m >> 64)) for chosen in combinations(masks, blocks - radius)]
 
 
+def _met(entered: DataFrame, value: str, tables: list[tuple[int, int]], radius: int) -> DataFrame:
+    """(f1, f2, near) for each entry and each list of it: the values of the list's fingerprints that are within the radius
+    and meet this one in no table before."""
+    lists = entered.groupBy("entry", "block").agg(F.collect_list(F.struct(F.col("f1").alias("g1"), F.col("f2").alias("g2"), F.col(value).alias("value"))).alias("list"))
+    asked = entered.select("entry", "f1", "f2", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    before = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in tables])
+
+    def near(x: Column) -> Column:
+        apart = distance(F.col("f1"), F.col("f2"), x["g1"], x["g2"])
+        d1, d2 = F.col("f1").bitwiseXOR(x["g1"]), F.col("f2").bitwiseXOR(x["g2"])
+        met = F.exists(F.slice(before, F.lit(1), F.col("entry.k")), lambda m: d1.bitwiseAND(m["a"]).bitwiseOR(d2.bitwiseAND(m["b"])) == 0)
+        return apart.between(1, radius) & ~met
+
+    return asked.join(lists, ["entry", "block"]).select("f1", "f2", F.transform(F.filter("list", near), lambda x: x["value"]).alias("near")).where(F.size("near") > 0)
+
+
 def within_radius(prints: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
-    """All pairs (a, b), once each way, of the distinct fingerprints (fid, f1, f2) at most `radius` bits apart."""
+    """(f1, f2, gained, r1, r2) of those distinct fingerprints (f1, f2, rows) that have others within the radius: the rows
+    of these, and the least fingerprint that can be reached from one to the next."""
     tables = block_tables(radius, blocks)
-    entries = F.array(*[F.xxhash64(F.lit(k), F.col("f1").bitwiseAND(F.lit(a)), F.col("f2").bitwiseAND(F.lit(b))) for k, (a, b) in enumerate(tables)])
-    entered = prints.select("fid", "f1", "f2", F.explode(entries).alias("entry"))
-    shared = entered.groupBy("entry").agg(F.min("fid").alias("low"), F.max("fid").alias("high")).where("low < high").select("entry")
-    entered = materialize(entered.join(shared, "entry", "left_semi"), "block-tables")
-    other = entered.select("entry", F.col("fid").alias("b"), F.col("f1").alias("b1"), F.col("f2").alias("b2"))
-    near = entered.join(other, "entry").where((F.col("fid") != F.col("b")) & (distance(F.col("f1"), F.col("f2"), F.col("b1"), F.col("b2")) <= radius))
-    return near.select(F.col("fid").alias("a"), "b").distinct()
+    prints = materialize(prints.select("f1", "f2", "rows"), "prints", n=F.count(F.lit(1)))
+    entries = F.array(*[F.struct(F.lit(k).alias("k"), F.col("f1").bitwiseAND(F.lit(a)).alias("m1"), F.col("f2").bitwiseAND(F.lit(b)).alias("m2")) for k, (a, b) in enumerate(tables)])
+    entered = prints.select("f1", "f2", "rows", F.explode(entries).alias("entry"))
+    shared = entered.groupBy("entry").agg(F.count("*").alias("times")).where("times > 1")
+    entered = join_frequent(entered, shared, ["entry"], prints.observed["n"] * len(tables)).withColumn("blocks", F.ceil(F.col("times") / MOST).cast("int"))
+    entered = materialize(entered.withColumn("block", F.pmod(F.xxhash64("f1", "f2"), F.col("blocks")).cast("int")).drop("times"), "block-tables")
+    found = _met(entered, "rows", tables, radius).groupBy("f1", "f2").agg(F.sum(F.aggregate("near", F.lit(0).cast("long"), lambda s, x: s + x)).alias("gained"))
+    found = materialize(found, "near-counts", n=F.count(F.lit(1)))
+    # labels: the least fingerprint seen so far, and in every round that of the least neighbour's label, too
+    table = materialize(found.select("f1", "f2", F.struct("f1", "f2").alias("root")), "print-labels")
+    moved = found.observed["n"]
+    entered = entered.join(found.select("f1", "f2"), ["f1", "f2"], "left_semi")
+    while moved:
+        seen = _met(entered.join(table, ["f1", "f2"]), "root", tables, radius).groupBy("f1", "f2").agg(F.min(F.array_min("near")).alias("seen"))
+        low = table.join(seen, ["f1", "f2"]).select("f1", "f2", F.col("root").alias("was"), F.least("root", "seen").alias("low"))
+        hop = table.select(F.struct("f1", "f2").alias("low"), F.col("root").alias("via"))
+        stepped = low.join(hop, "low").select("f1", "f2", F.least("low", "via").alias("root"), "was")
+        stepped = materialize(stepped, "print-labels", moved=F.count_if(F.col("root") != F.col("was")))
+        discard(table)
+        table, moved = stepped.drop("was"), stepped.observed["moved"]
+        table._written = stepped._written
+    return found.join(table, ["f1", "f2"]).select("f1", "f2", "gained", F.col("root.f1").alias("r1"), F.col("root.f2").alias("r2"))
 
 
 def next_documents(keyed: DataFrame) -> DataFrame:
@@ -135,17 +203,15 @@ def document_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str
     prints = materialize(prints, "fingerprints")
 
     counted = slim.groupBy("doc_id", "th").agg(F.count("*").alias("rows"), F.first("n").alias("n_chars"))
-    known = prints.join(counted, ["doc_id", "th"]).withColumn("fid", F.xxhash64("f1", "f2"))
-    distinct = materialize(known.groupBy("fid", "f1", "f2").agg(F.sum("rows").alias("rows"), F.min("doc_id").alias("least")), "distinct-fingerprints")
-    pairs = materialize(within_radius(distinct, radius), "near-fingerprints")
-    gained = pairs.join(distinct.select(F.col("fid").alias("b"), F.col("rows").alias("there")), "b").groupBy(F.col("a").alias("fid")).agg(F.sum("there").alias("gained"))
-    classes = components(pairs, "fingerprint-classes").select(F.col("node").alias("fid"), "root")
-    named = distinct.join(gained, "fid", "left").join(classes, "fid", "left").withColumn("root", F.coalesce("root", "fid"))
-    least = named.groupBy("root").agg(F.min("least").alias("class_id"))
-    named = named.join(least, "root").select("fid", "class_id", (F.col("rows") - 1 + F.coalesce("gained", F.lit(0))).alias("n_near"))
+    known = materialize(prints.join(counted, ["doc_id", "th"]), "documents-with-prints", n=F.count(F.lit(1)))
+    distinct = materialize(known.groupBy("f1", "f2").agg(F.sum("rows").alias("rows"), F.count("*").alias("times"), F.min("doc_id").alias("least")), "distinct-fingerprints")
+    named = distinct.join(within_radius(distinct, radius), ["f1", "f2"], "left").withColumn("r1", F.coalesce("r1", "f1")).withColumn("r2", F.coalesce("r2", "f2"))
+    least = named.groupBy("r1", "r2").agg(F.min("least").alias("class_id"))
+    named = named.join(least, ["r1", "r2"]).select("f1", "f2", "times", "class_id", (F.col("rows") - 1 + F.coalesce("gained", F.lit(0))).alias("n_near"))
+    named = materialize(named, "fingerprint-classes")
 
     after = prints.select(F.col("doc_id").alias("next_id"), F.col("th").alias("next_th"), F.col("f1").alias("n1"), F.col("f2").alias("n2"))
-    rows = known.join(ring.drop("n"), ["doc_id", "th"]).join(after, ["next_id", "next_th"]).join(named, "fid")
+    rows = join_frequent(known, named, ["f1", "f2"], known.observed["n"]).join(ring.drop("n"), ["doc_id", "th"]).join(after, ["next_id", "next_th"])
     if repeated:
         rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))
     f, e, nx = (F.col("f1"), F.col("f2")), (F.col("e1"), F.col("e2")), (F.col("n1"), F.col("n2"))

@@ -5,11 +5,12 @@ set; one document of each such class goes on. Its MinHash signature is cut into
 
 Forest: the labels of all trees are sorted, dealt by ranges with the set as the last sort key, so that no prefix is one
 task's. A pass over the sorted labels leaves those that share their first SHORTEST values with a neighbour; all others
-are alone in their branch. The nodes of the prefix tries are then cut one by one: a prefix is as short as it can be for
-its node to hold SMALL sets or fewer, down to SHORTEST; what holds more stays apart by up to DEPTH values. Each set's
-recall follows from the depths at which its own branches are cut, 1 - product(1 - threshold**depth). Where that is below
-the target, the longest of the set's prefixes are shortened, for all sets of the node, until it is met: two sets at the
-threshold are missed with probability 1 - RECALL at most, and nearly always far less.
+are alone in their branch. The nodes of the prefix tries are then cut, each at a depth of its own. With prefixes of
+matched_depth() values all trees together reach the target recall; a node of more than SMALL sets there is taken apart by
+longer prefixes, up to DEPTH. Each set's recall follows from the depths at which its own branches are cut,
+1 - product(1 - threshold**depth). Where that is below the target, prefixes are shortened, for all sets of the node, until
+it is met: first those whose node stays small when it is shortened, then the longest. Two sets at the threshold are
+missed with probability 1 - RECALL at most.
 
 The sets of a node are tied to its least one, and components of ties are the candidate groups, verified exactly. A
 group's sets are dealt into blocks along their sorted labels; of a group of several blocks, only blocks that have sets
@@ -38,8 +39,8 @@ from .common import ROLL_BASES, Rolling, components, hash_memo, join_frequent, m
 
 SHINGLE, THRESHOLD = 5, 0.8
 TREES, DEPTH, RECALL = 24, 6, 0.9999
-#: No prefix is shorter than so many values; nodes of SMALL sets or fewer are cut as short as that.
-SHORTEST, SMALL = 3, 32
+#: No prefix is shorter than so many values; nodes of SMALL sets or fewer are small.
+SHORTEST, SMALL = 4, 32
 #: Bytes of a value of a label, and of the number of its tree before it.
 VALUE, TREE = 2, 1
 #: Shingles in a block of a candidate group, about; a set counts as BLOCK / MOST of them at least.
@@ -184,35 +185,49 @@ def forest_nodes(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     one = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda k: F.substring("labels", k * width + 1, F.lit(width)))
     line = sets.where("n_shingles > 0").select(F.explode(one).alias("label"), "set_id").repartitionByRange(n, "label", "set_id").sortWithinPartitions("label", "set_id")
     rows = materialize(map_arrow(line, neighbours, "label binary, set_id binary"), "forest", rows=F.count(F.lit(1)))
-    total, totals = rows.observed["rows"], {}
+    total = rows.observed["rows"]
 
-    levels, cut = {}, []
-    for depth in range(SHORTEST, DEPTH + 1):  # the branches that are too large at one depth are looked at one further down
-        if depth > SHORTEST and not total:
+    start = matched_depth(threshold)
+    cut = []
+    for depth in range(start, DEPTH + 1):  # the branches that are too large at one depth are looked at one further down
+        if depth > start and not total:
             break
         here = rows.withColumn("prefix", prefix(depth))
         nodes = here.groupBy("prefix").agg(F.count("*").alias("times"), F.min("set_id").alias("head"))
         large = (F.col("times") > SMALL) if depth < DEPTH else F.lit(False)
-        level = materialize(join_frequent(here, nodes, ["prefix"], total), f"forest-{depth}", large=F.count_if(large))
-        levels[depth], totals[depth], total = level, total, level.observed["large"]
+        level = materialize(join_frequent(here, nodes, ["prefix"], total), f"forest-{depth}", large=F.count_if(large), n=F.count(F.lit(1)))
+        first = level if depth == start else first
         cut.append(level.where(~large).withColumn("depth", F.lit(depth)))
-        rows = level.where(large).select("label", "set_id")
-
+        rows, total = level.where(large).select("label", "set_id"), level.observed["large"]
     cuts = cut[0]
     for x in cut[1:]:
         cuts = cuts.unionByName(x)
+    if len(cut) == 1:  # no branch is longer than what the recall asks for
+        return cuts.where("times > 1").select("prefix", "set_id", "head")
+
     # branches without a row are cut at SHORTEST: nobody else is in them
     miss = {d: log(1 - threshold**d) for d in range(SHORTEST, DEPTH + 1)}
     gain = F.element_at(F.create_map(*[F.lit(x) for d in miss for x in (d, miss[d] - miss[SHORTEST])]), F.col("depth"))
-    for depth in range(max(levels), matched_depth(threshold), -1):
-        lost = cuts.where(F.col("depth") > SHORTEST).groupBy("set_id").agg((F.sum(gain) + TREES * miss[SHORTEST]).alias("miss"))
-        short = lost.where(F.col("miss") > log(1 - RECALL)).select("set_id")
-        wider = cuts.where(F.col("depth") == depth).join(short, "set_id", "left_semi").select(prefix(depth - 1).alias("prefix")).distinct()
-        wider = materialize(wider.join(levels[depth - 1].groupBy("prefix").agg(F.count("*").alias("n")), "prefix"), "forest-shortened")
-        back = join_frequent(levels[depth - 1], wider, ["prefix"], totals[depth - 1], "n").drop("n").withColumn("depth", F.lit(depth - 1))
-        stay = cuts.withColumn("up", F.when(F.col("depth") == depth, prefix(depth - 1))).join(wider.select(F.col("prefix").alias("up")), "up", "left_anti").drop("up")
-        cuts = materialize(stay.unionByName(back), "forest-cut")
-    return cuts.where("times > 1").select("prefix", "set_id", "head")
+
+    def lost(cuts: DataFrame) -> DataFrame:
+        """Sets whose recall is below the target."""
+        return cuts.groupBy("set_id").agg((F.sum(gain) + TREES * miss[SHORTEST]).alias("miss")).where(F.col("miss") > log(1 - RECALL)).select("set_id")
+
+    def replaced(cuts: DataFrame, back: DataFrame, depth: int) -> DataFrame:
+        """cuts with the nodes of `back`, of prefixes of `depth` values, in place of those below them."""
+        gone = back.select(F.col("prefix").alias("up")).distinct()
+        stay = cuts.withColumn("up", F.when(F.col("depth") > depth, prefix(depth))).join(gone, "up", "left_anti").drop("up")
+        return materialize(stay.unionByName(back.withColumn("depth", F.lit(depth))), "forest-cut")
+
+    for depth in range(start - 1, SHORTEST - 1, -1):
+        asked = cuts.where(F.col("depth") == depth + 1).join(lost(cuts), "set_id", "left_semi").select(prefix(depth).alias("prefix")).distinct()
+        under = first.select("label", "set_id", prefix(depth).alias("prefix")).join(asked, "prefix", "left_semi")
+        sizes = under.groupBy("prefix").agg(F.count("*").alias("times"), F.min("set_id").alias("head")).where(F.col("times") <= SMALL)
+        cuts = replaced(cuts, materialize(under.join(sizes, "prefix"), "forest-shorter"), depth)
+    wider = cuts.where(F.col("depth") > start).join(lost(cuts), "set_id", "left_semi").groupBy(prefix(start).alias("prefix")).agg(F.lit(True).alias("wider"))
+    sizes = first.groupBy("prefix").agg(F.count("*").alias("n")).join(wider, "prefix")
+    back = materialize(join_frequent(first, sizes, ["prefix"], first.observed["n"], "n").drop("n", "wider"), "forest-back")
+    return replaced(cuts, back, start).where("times > 1").select("prefix", "set_id", "head")
 
 
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -226,10 +241,10 @@ def _blocks(members: DataFrame, nodes: DataFrame) -> DataFrame:
     weighed = members.withColumn("weight", F.greatest("n_shingles", F.lit(BLOCK // MOST)))
     mass = materialize(weighed.groupBy("grp").agg(F.sum("weight").alias("mass"), F.count("*").alias("times")), "masses", total=F.sum("times"))
     total = mass.observed["total"] or 0
-    small = join_frequent(weighed, mass.where(F.col("mass") <= BLOCK).drop("mass"), ["grp"], total)
+    massed = materialize(join_frequent(weighed, mass, ["grp"], total).drop("times"), "massed")
     zero = F.lit(0).cast("long")
-    small = small.select("grp", zero.alias("i"), zero.alias("j"), zero.alias("block"), "set_id", "copies")
-    large = join_frequent(weighed, mass.where(F.col("mass") > BLOCK).drop("mass"), ["grp"], total)
+    small = massed.where(F.col("mass") <= BLOCK).select("grp", zero.alias("i"), zero.alias("j"), zero.alias("block"), "set_id", "copies")
+    large = massed.where(F.col("mass") > BLOCK)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = materialize(large.repartitionByRange(n, "grp", "labels", "set_id").withColumn("part", F.spark_partition_id()), "large-groups")
     along = Window.partitionBy("part", "grp").orderBy("labels", "set_id")

@@ -61,6 +61,36 @@ def test_stages(spark, folder):
     assert corpus_pipeline.run(spark, folder).count() == len(seen["best_fit_packing"])
 
 
+def test_run_on_odd_tables(spark, folder, tmp_path):
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    schema = "doc_id long, text string, lang string, source string, n_chars long, __b int, root string, `taken` long"
+    long_text = " ".join(f"w{i}" for i in range(30000))
+    rows = [(1, "some words in a text", "en", "a", 20, 1, "r", 5), (1, "some words in a text", "en", "a", 20, 1, "r", 5), (1, "another text under one id", "en", "a", 25, 1, "r", 5)]
+    rows += [(None, "a text without an id", None, None, None, None, None, None), (None, None, "en", "b", None, 1, "r", 5), (7, "", "en", "b", 0, 1, "r", 5), (8, long_text, "en", "b", len(long_text), 1, "r", 5), (9, " \n", "en", "b", 2, 1, "r", 5)]
+    for name, given in (("odd", rows), ("none", [])):
+        at = tmp_path / name
+        spark.createDataFrame(given, schema).write.parquet(f"{at}/documents.parquet")
+        labels.limit(0).write.parquet(f"{at}/labels.parquet")
+        docs, seen = spark.read.parquet(f"{at}/documents.parquet"), {}
+        for k, (stage, f) in enumerate(corpus_pipeline.STAGES):
+            docs = f(spark, docs, str(at))
+            docs.write.parquet(f"{at}/out-{k}.parquet")
+            docs = spark.read.parquet(f"{at}/out-{k}.parquet")
+            seen[stage] = docs.collect()
+            if k < 4:
+                assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "__b", "root", "taken"]
+        if not given:
+            assert not any(seen.values())
+            continue
+        assert len(seen["toxicity"]) == len(rows)  # nothing is toxic without labels
+        left = [(r["doc_id"], r["text"]) for r in seen["ngram_jaccard_join"]]
+        assert sorted(map(str, left)) == sorted(map(str, [(1, rows[0][1]), (1, rows[2][1]), (None, rows[3][1]), (8, long_text), (7, "")]))
+        assert len(seen["secret_scan"]) == len(left)
+        assert all(r["text"].strip() for r in seen["source_mix"])
+        cut = [r for r in seen["best_fit_packing"] if r["doc_id"] == 8]
+        assert len({r["sequence_id"] for r in cut}) == len(cut) > 1 and all(r["length"] <= 2048 for r in seen["best_fit_packing"])
+
+
 def test_near_copies_go_by_row_not_by_id(spark):
     text = lambda k: " ".join(f"t{k}w{j}" for j in range(40))
     rows = [(None if i % 3 == 0 else i, text(i)) for i in range(30)]
