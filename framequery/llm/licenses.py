@@ -13,6 +13,7 @@ Memory holds the automaton, one Arrow batch and the words of one text.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,22 +26,33 @@ from .common import map_arrow, utf8, word_table
 #: Fixed phrases and the label of each.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-#: Opening notices of common licences, label and text.
+#: Notices and texts of common licences, label and text.
 TEMPLATES = [
     ("mit", "Released under the MIT License."),
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction"),
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
     ("apache-2.0", "Licensed under the Apache License, Version 2.0"),
     ("apache-2.0", "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
+    ("apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
     ("gpl", "This work is licensed under the GNU General Public License, version 3."),
     ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
+    ("gpl-2.0", "under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("gpl-3.0", "under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("lgpl", "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"),
     ("agpl", "under the terms of the GNU Affero General Public License as published by the Free Software Foundation"),
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("bsd-2-clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
+    ("bsd-3-clause", "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
     ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
     ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software."),
     ("unlicense", "This is free and unencumbered software released into the public domain."),
+    ("unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
     ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("cc-by-nc", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("cc0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
 ]
 
@@ -137,6 +149,16 @@ class LicenceScanner:
         self.phrases_at = [[s for s, e in ends if self.phrase[s] and e == self.sizes[s]] for ends in self.automaton.ends]
         self.templates_at = [[(s, e) for s, e in ends if not self.phrase[s]] for ends in self.automaton.ends]
 
+    @classmethod
+    def of_table(cls, templates: DataFrame, label_col: str = "label", text_col: str = "text", most_bytes: int = 64 << 20) -> LicenceScanner:
+        """A scanner for a table of templates, whole licence texts for instance. The automaton is each task's own, so that
+        templates of more than most_bytes altogether are refused; rows with a null are left aside."""
+        rows = templates.select(F.col(label_col).cast("string").alias("label"), F.col(text_col).cast("string").alias("text")).dropna()
+        size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+        if size > most_bytes:
+            raise ValueError(f"templates hold {size} bytes, more than {most_bytes}")
+        return cls(templates=[(r["label"], r["text"]) for r in rows.orderBy("label", "text").collect()])  # bounded above
+
     def scan(self, words: list[bytes]) -> tuple[list[tuple[int, str]], list[tuple[int, int, str, float]]]:
         """Places of phrases (start, label), and covered spans (first word, end word, label, part of the template)."""
         known = np.fromiter((self.vocabulary.get(w, -1) for w in words), np.int32, len(words)) if words else np.empty(0, np.int32)
@@ -192,11 +214,12 @@ class LicenceScanner:
                 closed.append((rival[0], rival[1], rival[3]))
             open_chains.append(entry)
         closed += [(c[0], c[1], c[3]) for c in open_chains]
-        spans: list[tuple[int, int, float]] = []
+        spans: list[tuple[int, int, float]] = []  # those that cover most, as far as they don't overlap; in order
         for a, b, n in sorted(closed, key=lambda c: (-c[2], c[0])):
-            if all(b <= x or y <= a for x, y, _ in spans):
-                spans.append((a, b, n / self.sizes[s]))
-        return sorted(spans)
+            at = bisect_left(spans, (a, b, 0.0))
+            if (at == 0 or spans[at - 1][1] <= a) and (at == len(spans) or b <= spans[at][0]):
+                spans.insert(at, (a, b, n / self.sizes[s]))
+        return spans
 
 
 SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<label:string,start:int,stop:int,cover:double>>"

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, own_name
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE, EPOCHS = 1.5, 2
@@ -61,13 +61,18 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", quality_col: str | None = None, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, seed: int = SEED) -> DataFrame:
     """doc_id, size, source, source_size, target and taken, the words the mix takes of each row with repeats counted."""
+    return _mixed(docs, id_col, text_col, source_col, quality_col, weights, share, epochs, seed).drop("text_hash")
+
+
+def _mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", quality_col: str | None = None, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, seed: int = SEED) -> DataFrame:
+    """mix_sources with text_hash, which tells the rows of one id apart."""
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     size, chars = F.regexp_count(text, F.lit(WORD)).cast("long"), F.char_length(text)
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), chars.alias("chars"), *([F.col(quality_col).cast("double").alias("quality")] if quality_col else []))
+    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), chars.alias("chars"), F.xxhash64(text).alias("text_hash"), *([F.col(quality_col).cast("double").alias("quality")] if quality_col else []))
     quality = F.greatest(F.coalesce(F.col("quality"), F.lit(1.0)), F.lit(1e-6)) if quality_col else default_quality(F.col("size"), F.col("chars"))
     slim = materialize(slim, "mix-sizes")  # dealing by ranges looks at its input twice; texts are read once
-    drawn = slim.select("doc_id", "source", "size", (-F.ln(uniform(F.col("doc_id"), seed=seed)) / quality).alias("key"))
+    drawn = slim.select("doc_id", "source", "size", "text_hash", (-F.ln(uniform(F.col("doc_id"), seed=seed)) / quality).alias("key"))
     order = ["source", "key", "doc_id", "size"]
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = materialize(drawn.repartitionByRange(n, *order).withColumn("part", F.spark_partition_id()), "mix-ranges")
@@ -85,15 +90,17 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     whole = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(epochs))).otherwise(F.lit(0)).cast("long")
     budget = F.round(F.col("target") - whole * F.col("source_size")).cast("long")
     extra = F.when(whole < epochs, F.least(F.col("size"), F.greatest(budget - start, F.lit(0)))).otherwise(F.lit(0))
-    return summed.select("doc_id", "source", "size", "source_size", "target", (whole * F.col("size") + extra).cast("long").alias("taken"))
+    return summed.select("doc_id", "text_hash", "source", "size", "source_size", "target", (whole * F.col("size") + extra).cast("long").alias("taken"))
 
 
 def sampled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """docs, with all its columns, each row as often as the mix takes it; the document at a source's border stays if at
-    least half of it fits."""
+    least half of it fits. Texts without words, null ones too, hold nothing that could be taken and go. Rows with the same
+    id and text are taken as often as the one that is taken most. An empty table gives no rows."""
+    own, hashed, asked, times, copy = (own_name(x) for x in ("id", "hash", "asked", "times", "copy"))
     size = F.greatest("size", F.lit(1))
-    times = mix_sources(docs, id_col, text_col, source_col, **options).select(F.col("doc_id").alias("__id"), F.floor((F.col("taken") + F.floor(size / 2)) / size).cast("int").alias("__times"))
-    # rows that share an id are taken as often as the one that is taken most
-    times = times.where("__times > 0").groupBy("__id").agg(F.max("__times").alias("__times"))
-    joined = docs.join(times.hint("shuffle_hash"), F.col(id_col).cast("long").eqNullSafe(F.col("__id")))
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
+    mixed = _mixed(docs, id_col, text_col, source_col, **options).select(F.col("doc_id").alias(own), F.col("text_hash").alias(asked), F.floor((F.col("taken") + F.floor(size / 2)) / size).cast("int").alias(times))
+    mixed = mixed.where(F.col(times) > 0).groupBy(own, asked).agg(F.max(times).alias(times))
+    told = docs.withColumn(hashed, F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    joined = told.join(mixed.hint("shuffle_hash"), F.col(id_col).cast("long").eqNullSafe(F.col(own)) & (F.col(hashed) == F.col(asked)))
+    return joined.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)

@@ -10,8 +10,8 @@ Token ids: the tokenizer's for the text without special tokens, then id 0. Longe
 sequences and a rest; shorter ones are never cut.
 
 Defined results: a null text is empty and gives one piece with the single id 0; repeated rows and ids are packed like
-other rows; an empty table gives no rows; other columns are left aside. Numbers of sequences follow from the content
-of the groups, so reruns agree.
+other rows; an empty table gives no rows; other columns are left aside. Pieces are dealt to groups by content and place in
+the table, so that equal rows spread; a table that is read in another order may be packed in another way.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, map_arrow, materialize
+from .common import Memo, map_arrow, materialize, own_name
 
 CAPACITY = 2048
 #: Pieces packed together at the first level, and groups that meet at each further one.
@@ -135,8 +135,10 @@ _BINS = f"grp long, number long, fill long, final boolean, items array<{_ITEM}>"
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP, fan_in: int = FAN_IN, final: tuple[float, ...] = FINAL) -> DataFrame:
     """Adds sequence_id and offset to (doc_id, piece, start, length, ids_crc32)."""
-    pieces = materialize(pieces, "pieces")
-    n = pieces.where(F.col("length") < capacity).count()
+    given = pieces.columns
+    row = own_name("row")
+    pieces = materialize(pieces.withColumn(row, F.monotonically_increasing_id()), "pieces", short=F.count_if(F.col("length") < capacity))
+    n = pieces.observed["short"]
     groups = max(1, -(-n // group))
 
     def first(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -160,7 +162,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP, fan_in
 
         return merge
 
-    keyed = pieces.where(F.col("length") < capacity).withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)))
+    keyed = pieces.where(F.col("length") < capacity).withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", row), F.lit(groups))).drop(row)
     bins = materialize(keyed.groupBy("grp").applyInPandas(first, _BINS), "bins-0")
     done, level = [], 0
     while True:
@@ -174,11 +176,10 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP, fan_in
     packed = done[0]
     for x in done[1:]:
         packed = packed.unionByName(x)
-    # the number of a sequence: level, group and place in the group; full pieces are numbered by their content
+    # the number of a sequence: level, group and place in the group; full pieces are numbered as rows
     low = packed.withColumn("sequence_id", F.col("level").cast("long") * F.lit(1 << 56) + F.col("grp") * F.lit(1 << 28) + F.col("number"))
     before = "aggregate(slice(items, 1, at), 0L, (s, x) -> s + x.length)"
     spread = low.select("sequence_id", "items", F.posexplode("items").alias("at", "item")).select("item.*", "sequence_id", F.expr(before).alias("offset"))
     full = pieces.where(F.col("length") >= capacity)
-    copy = F.monotonically_increasing_id()
-    full = full.select(*pieces.columns, (F.lit(1 << 62) + copy).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    full = full.select(*given, (F.lit(1 << 62) + F.col(row)).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     return spread.unionByName(full)

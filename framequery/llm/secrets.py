@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import join_spread, materialize, own_name
 
 
 @dataclass(frozen=True)
@@ -62,7 +62,8 @@ EXTRA = (
 )
 RULES = BASE + EXTRA
 
-LEDGER = "blob string, rules array<string>, spans array<struct<start:int,kind_no:int,stop:int,kind:string>>"
+SPANS = "array<struct<start:int,kind_no:int,stop:int,kind:string>>"
+LEDGER = f"blob string, rules array<string>, spans {SPANS}"
 
 
 def _found(rule: Rule, number: int, todo: Column) -> Column:
@@ -91,7 +92,7 @@ def update_ledger(docs: DataFrame, ledger: DataFrame | None = None, id_col: str
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     texts = texts.select("doc_id", F.sha2("text", 256).alias("blob"), "text")
-    versions = materialize(texts.select("doc_id", "blob"), "versions")
+    versions = materialize(texts.select("doc_id", "blob"), "versions", rows=F.count(F.lit(1)))
     paths = versions.groupBy("blob").agg(F.min("doc_id").alias("path"))
     names = F.array(*[F.lit(r.name) for r in rules])
     if ledger is None:
@@ -102,20 +103,23 @@ def update_ledger(docs: DataFrame, ledger: DataFrame | None = None, id_col: str
     fresh = texts.join(unseen.hint("shuffle_hash"), (F.col("blob") == F.col("b")) & F.col("doc_id").eqNullSafe(F.col("path")))
     found = scan_blobs(fresh.select("blob", "todo", "text"), rules)
     entry = unseen.select(F.col("b").alias("blob"), F.col("todo").alias("rules")).join(found, "blob", "left")
-    entry = entry.withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<start:int,kind_no:int,stop:int,kind:string>>")))
+    entry = entry.withColumn("spans", F.coalesce("spans", F.array().cast(SPANS)))
     return versions, ledger.unionByName(materialize(entry, "ledger"))
 
 
 def secret_spans(docs: DataFrame, ledger: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """doc_id, blob, spans (start, kind_no, stop, kind; in order) for each row of docs."""
+    """doc_id, blob, spans (start, kind_no, stop, kind; in order) for each row of docs. Numbers of kinds are those of
+    `rules`, whatever the ledger's rules were."""
     versions, book = update_ledger(docs, ledger, id_col, text_col, rules)
-    current = F.array(*[F.lit(r.kind) for r in rules])
     # spans of a rule's former version are not the rule's
     now = F.create_map(*[F.lit(x) for r in rules for x in (r.kind, r.name)])
-    book = book.withColumn("spans", F.filter("spans", lambda x: F.array_contains(F.col("rules"), F.element_at(now, x["kind"]))))
+    number = F.create_map(*[F.lit(x) for k, r in enumerate(rules) for x in (r.kind, k)])
+    valid = F.filter("spans", lambda x: F.array_contains(F.col("rules"), F.try_element_at(now, x["kind"])))
+    book = book.withColumn("spans", F.transform(valid, lambda x: F.struct(x["start"].alias("start"), F.element_at(number, x["kind"]).alias("kind_no"), x["stop"].alias("stop"), x["kind"].alias("kind"))))
     spans = book.where(F.size("spans") > 0).groupBy("blob").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
-    joined = versions.join(spans, "blob", "left")
-    return joined.select("doc_id", "blob", F.coalesce(F.filter("spans", lambda x: F.array_contains(current, x["kind"])), F.array().cast("array<struct<start:int,kind_no:int,stop:int,kind:string>>")).alias("spans"))
+    paths = versions.groupBy("blob").agg(F.count("*").alias("times"))
+    joined = join_spread(versions, spans.join(paths, "blob"), ["blob"], versions.observed["rows"], how="left")
+    return joined.select("doc_id", "blob", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"), F.col("times").alias("copies"))
 
 
 def span_text(spans: Column) -> Column:
@@ -126,18 +130,22 @@ MASK = "<secret>"
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES, length_col: str | None = None) -> DataFrame:
-    """docs, with all its columns, with MASK in place of each stretch of spans; length_col, if given, follows the text."""
-    found = secret_spans(docs, None, id_col, text_col, rules).where(F.size("spans") > 0).select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans")).dropDuplicates(["__blob"])
-    joined = docs.withColumn("__b", F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256)).join(found.hint("shuffle_hash"), F.col("__b") == F.col("__blob"), "left")
-    text = F.col(text_col)
+    """docs, with all its columns, with MASK in place of each stretch of spans; length_col, if given, follows the text.
+    Every row stays; null texts stay null, and repeated rows are masked alike. An empty table gives no rows."""
+    blob, parts = own_name("blob"), own_name("parts")
+    found = materialize(secret_spans(docs, None, id_col, text_col, rules).where(F.size("spans") > 0), "found")
+    found = found.groupBy(F.col("blob").alias(blob)).agg(F.first("spans").alias("spans"), F.first("copies").alias("copies"))
     grow = lambda acc, x: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["stop"] >= x["start"]), F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["stop"], x["stop"]).alias("stop"))))).otherwise(F.concat(acc, F.array(F.struct(x["start"].alias("start"), x["stop"].alias("stop")))))
-    merged = F.aggregate("__spans", F.array().cast("array<struct<start:int,stop:int>>"), grow)
-    joined = joined.withColumn("__m", merged)
-    before = lambda i: F.when(i > 0, F.col("__m")[i - 1]["stop"]).otherwise(F.lit(0))
-    gaps = F.transform("__m", lambda x, i: F.concat(F.substring(text, before(i) + 1, x["start"] - before(i)), F.lit(MASK)))
-    rest = F.substring(text, F.element_at("__m", -1)["stop"] + 1, F.char_length(text))
-    clean = F.when(F.col("__m").isNull(), text).otherwise(F.concat(F.array_join(gaps, ""), rest))
-    out = joined.withColumn(text_col, clean)
+    merged = found.select(blob, F.struct("copies", F.aggregate("spans", F.array().cast("array<struct<start:int,stop:int>>"), grow).alias("masks")).alias(parts)).withColumn("copies", F.col(f"{parts}.copies"))
+    times = own_name("times")
+    keyed = docs.withColumn(blob, F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256))
+    rows = found.agg(F.sum("copies")).first()[0] or 0
+    joined = join_spread(keyed, merged.withColumnRenamed("copies", times), [blob], rows, times, "left", small=True)
+    text, masks = F.col(text_col), F.col(f"{parts}.masks")
+    before = lambda i: F.when(i > 0, masks[i - 1]["stop"]).otherwise(F.lit(0))
+    gaps = F.transform(masks, lambda x, i: F.concat(F.substring(text, before(i) + 1, x["start"] - before(i)), F.lit(MASK)))
+    rest = F.substring(text, F.element_at(masks, -1)["stop"] + 1, F.char_length(text))
+    out = joined.withColumn(text_col, F.when(masks.isNull(), text).otherwise(F.concat(F.array_join(gaps, ""), rest)))
     if length_col:
-        out = out.withColumn(length_col, F.when(F.col("__m").isNull(), F.col(length_col)).otherwise(F.char_length(text_col).cast(docs.schema[length_col].dataType)))
+        out = out.withColumn(length_col, F.when(masks.isNull(), F.col(length_col)).otherwise(F.char_length(text_col).cast(docs.schema[length_col].dataType)))
     return out.select(*docs.columns)

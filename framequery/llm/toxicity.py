@@ -178,19 +178,23 @@ def scorer(model: OrdinalModel, text_at: int):
 
 
 def severities(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col: str = "text", limit: float = LIMIT) -> DataFrame:
-    """doc_id, severity (expected grade), p_toxic, grade (the most probable) and toxic for each row of docs."""
+    """doc_id, severity (expected grade), p_toxic, toxic and grade for each row of docs: 0 for what is not toxic, the most
+    probable of the toxic grades for what is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, p, sure in scorer(model, 1)(batches):
-            each = np.diff(np.concatenate([np.zeros((len(p), 1)), 1 - p, np.ones((len(p), 1))], axis=1), axis=1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p.sum(axis=1)), pa.array(p[:, 0]), pa.array(each.argmax(axis=1).astype(np.int32)), pa.array((p[:, 0] >= limit) & sure)], names=["doc_id", "severity", "p_toxic", "grade", "toxic"])
+            each = np.diff(np.concatenate([1 - p, np.ones((len(p), 1))], axis=1), axis=1)  # of grades 1 and more
+            toxic = (p[:, 0] >= limit) & sure
+            grade = np.where(toxic, 1 + each.argmax(axis=1), 0).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p.sum(axis=1)), pa.array(p[:, 0]), pa.array(grade), pa.array(toxic)], names=["doc_id", "severity", "p_toxic", "grade", "toxic"])
 
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return map_arrow(picked, run, "doc_id long, severity double, p_toxic double, grade int, toxic boolean")
 
 
 def without_toxic(docs: DataFrame, model: OrdinalModel, text_col: str = "text", limit: float = LIMIT) -> DataFrame:
-    """The rows of docs, with all their columns, that are not toxic."""
+    """The rows of docs, with all their columns, that are not toxic. Null and empty texts stay, unless the thresholds
+    alone find them toxic; repeated rows go or stay together; an empty table gives no rows."""
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path, map_arrow, materialize, utf8
+from .common import discard, fresh_path, join_frequent, map_arrow, materialize, utf8
 
 MIN_BYTES = 0
 #: Bytes of a range, and of one read.
@@ -78,11 +78,11 @@ def write_archives(pages: DataFrame, path: str | None = None, id_col: str = "pag
     folder = path or fresh_path(pages.sparkSession, "warc")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url"), F.coalesce(F.col(payload_col).cast("string"), F.lit("")).alias("payload"))
     slim = rows.select("page_id", F.sha1(F.encode("payload", "utf-8")).alias("sha"), F.octet_length("payload").alias("size"))
-    slim = materialize(slim, "payload-digests")
-    heads = slim.groupBy("sha").agg(F.max("page_id").alias("head"))
-    kinds = slim.distinct().join(heads, "sha").withColumn("revisit", (F.col("size") >= min_bytes) & ~F.col("page_id").eqNullSafe(F.col("head")))
-    # only revisits are joined by id; whatever finds no partner is a response
-    kinds = kinds.where("revisit").select(F.col("page_id").alias("p"), F.col("sha").alias("s"), "head")
+    slim = materialize(slim, "payload-digests", rows=F.count(F.lit(1)))
+    heads = slim.groupBy("sha").agg(F.max("page_id").alias("head"), F.count("*").alias("times")).where("times > 1")
+    revisit = (F.col("size") >= min_bytes) & ~F.col("page_id").eqNullSafe(F.col("head"))
+    # only revisits are joined by id and payload; whatever finds no partner is a response
+    kinds = join_frequent(slim, heads, ["sha"], slim.observed["rows"]).where(revisit).select(F.col("page_id").alias("p"), F.col("sha").alias("s"), "head").distinct()
     kinds = materialize(kinds, "revisits")
     typed = rows.join(kinds.hint("shuffle_hash"), F.col("page_id").eqNullSafe(F.col("p")) & (F.sha1(F.encode("payload", "utf-8")) == F.col("s")), "left").select("page_id", F.col("s").isNotNull().alias("revisit"), "head", "url", "payload")
 
@@ -233,17 +233,17 @@ def read_archives(manifest: DataFrame, range_bytes: int = RANGE, with_payload: b
                 system, _ = _file_system(folder)
                 with system.open_input_file(file) as handle:
                     found = candidates(handle, size, start, min(size, start + range_bytes), file.endswith(".gz"))
-                leave: dict[int, int] = {}
-                for at, after, _, _ in reversed(found):
-                    leave[at] = leave.get(after, after)
                 rows = []
                 for at, after, head, payload in found:
                     kind = head.get("WARC-Type")
                     full = kind != "revisit"
                     digest = digest_text(payload) if full else head.get("WARC-Payload-Digest", "").removeprefix("sha1:")
                     if full and head.get("WARC-Payload-Digest", f"sha1:{digest}") != f"sha1:{digest}":
-                        continue  # damaged
-                    rows.append((file, start // range_bytes, at, after, leave[at], _page(head.get("WARC-Record-ID")), len(payload) if full else int(head.get("X-Payload-Length", 0)), digest, kind, None if full else _page(head.get("WARC-Refers-To")), head.get("WARC-Target-URI"), payload.decode("utf-8", "replace") if with_payload and full else None))
+                        continue  # damaged, so nothing leads on from here
+                    rows.append([file, start // range_bytes, at, after, after, _page(head.get("WARC-Record-ID")), len(payload) if full else int(head.get("X-Payload-Length", 0)), digest, kind, None if full else _page(head.get("WARC-Refers-To")), head.get("WARC-Target-URI"), payload.decode("utf-8", "replace") if with_payload and full else None])
+                leave: dict[int, int] = {}
+                for row in reversed(rows):
+                    row[4] = leave[row[2]] = leave.get(row[3], row[3])
                 columns = list(zip(*rows, strict=True)) or [()] * 12
                 types = [pa.string(), *[pa.int64()] * 6, pa.string(), pa.string(), pa.int64(), pa.string(), pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["file", "part", "at", "after", "leave", "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "payload"])
@@ -284,4 +284,7 @@ def reachable_entries(found: DataFrame) -> DataFrame:
             return reached
         reached = reached.union(fresh)
         hop = jump.select("file", F.col("at").alias("leave"), F.col("leave").alias("further"))
-        jump = materialize(jump.join(hop, ["file", "leave"]).select("file", "at", F.col("further").alias("leave")).union(jump.join(hop, ["file", "leave"], "left_anti").select("file", "at", "leave")), "jumps")
+        longer = jump.join(hop, ["file", "leave"]).select("file", "at", F.col("further").alias("leave")).union(jump.join(hop, ["file", "leave"], "left_anti").select("file", "at", "leave"))
+        longer = materialize(longer, "jumps")
+        discard(jump)
+        jump = longer
