@@ -52,6 +52,26 @@ class HistogramEncoder:
         return self._fold(([bytes([b]) for b in x] for x in images), len(images))
 
 
+class ByteGramEncoder(HistogramEncoder):
+    """A second stand-in, with vectors of its own: runs of three characters in place of words."""
+
+    name = "bytegrams"
+
+    def encode_texts(self, texts: list[str]) -> np.ndarray:
+        padded = (f"  {t.lower()} ".encode() if t.strip() else b"" for t in texts)
+        return self._fold(([t[i : i + 3] for i in range(len(t) - 2)] for t in padded), len(texts))
+
+
+#: Encoders by name; `load` fails for other names.
+ENCODERS = {c.name: c for c in (HistogramEncoder, ByteGramEncoder)}
+
+
+def load(name: str, dimension: int = DIMENSION) -> Encoder:
+    if name not in ENCODERS:
+        raise ValueError(f"unknown encoder: {name}")
+    return ENCODERS[name](dimension)
+
+
 def encode_column(encoder: Encoder, text: Column) -> Column:
     """Vectors of a text column, batch by batch; the encoder is built once for each worker's iterator."""
 
@@ -63,15 +83,38 @@ def encode_column(encoder: Encoder, text: Column) -> Column:
     return run(text)
 
 
+#: The fields of a cue that may hold an image, and how image files begin.
+CUE_FIELDS = ("dataUrl", "data_url", "base64", "content")
+IMAGE_STARTS = (b"\x89PNG\r\n\x1a\n", b"\xff\xd8\xff", b"GIF87a", b"GIF89a", b"BM", b"II*\x00", b"MM\x00*")
+
+
+def is_image(data: bytes) -> bool:
+    """Whether bytes begin as an image file does; pixels are an encoder's business."""
+    return data.startswith(IMAGE_STARTS) or (data[:4] == b"RIFF" and data[8:12] == b"WEBP")
+
+
 def image_bytes(cue: dict) -> bytes:
     """The image of a request: base64, bare or as a data address."""
-    text = str(cue.get("data") or cue.get("dataUrl") or cue.get("src") or "")
-    if not text:
-        raise ValueError("imageCue data is required")
+    given = next((cue[k] for k in CUE_FIELDS if cue.get(k)), None)
+    if not given:
+        raise ValueError("visual_query requires imageCue.dataUrl/base64 or imageEmbedding")
+    text = given if isinstance(given, (str, bytes)) else None
+    if isinstance(text, str) and text[:5].lower() == "data:":
+        text = text.partition(",")[2] or text
     try:
-        return base64.b64decode(text.split(",", 1)[-1] if text.startswith("data:") else text, validate=True)
-    except (binascii.Error, ValueError) as error:
-        raise ValueError("imageCue data must be valid base64") from error
+        data = base64.b64decode(text, validate=True)
+    except (binascii.Error, TypeError, ValueError) as error:
+        raise ValueError("imageCue contains invalid base64 image data") from error
+    if not is_image(data):
+        raise ValueError("imageCue image data could not be decoded")
+    return data
+
+
+def decoded(text: Column) -> Column:
+    """The bytes of a base64 column, bare or as a data address; null where it is no strict base64."""
+    bare = F.regexp_replace(text, "(?i)^data:[^,]*,", "")
+    strict = bare.rlike("^(?:[A-Za-z0-9+/]{4})*(?:[A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?$")
+    return F.when(strict, F.unbase64(bare))
 
 
 def visual_vector(encoder: Encoder | None, embedding: list[float] | None, cue: dict | None) -> list[float]:

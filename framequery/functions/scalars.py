@@ -22,6 +22,18 @@ def filled(c: Column) -> Column:
     return F.nullif(c.cast("string"), F.lit(""))
 
 
+def first_of(c: Column) -> Column:
+    """The first element of an array column, null for an empty one."""
+    return F.get(c, F.lit(0))
+
+
+def plain_number(c: Column) -> Column:
+    """The text of a number as it is shown: without a fraction where there is none."""
+    number = real_number(c)
+    whole = number == F.floor(number)
+    return F.when(whole & (F.abs(number) < 2.0**63), number.try_cast("bigint").cast("string")).when(number.isNotNull(), number.cast("string"))
+
+
 def first_filled(*columns: Column) -> Column:
     return F.coalesce(*[filled(c) for c in columns])
 
@@ -31,8 +43,14 @@ def tokens(c: Column) -> Column:
 
 
 def whole_number(c: Column) -> Column:
-    """The integer that a text spells, else null; fractions in texts are no integers, numbers are cut."""
-    return F.when(stripped(c.cast("string")).rlike("^[+-]?[0-9]+$"), stripped(c.cast("string")).try_cast("bigint"))
+    """The integer that a text spells, else null: fractions in texts are no integers. Numbers are cut; a number that is
+    none, or infinite, gives null."""
+    text = stripped(c.cast("string"))
+    spelt = F.when(text.rlike("^[+-]?[0-9]+$"), text.try_cast("bigint"))
+    real = c.try_cast("double")
+    cut = F.when(F.abs(real) < 2.0**63, real.try_cast("bigint"))
+    kind = F.typeof(c)  # folded before the plan runs
+    return F.when(kind.isin("double", "float") | kind.startswith("decimal"), cut).when(kind == "boolean", c.try_cast("bigint")).otherwise(spelt)
 
 
 def real_number(c: Column) -> Column:

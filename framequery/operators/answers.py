@@ -47,9 +47,9 @@ def quantity(c: Column) -> Column:
 
 
 def trake_groups(rows: DataFrame) -> DataFrame:
-    """(video_id, frame_ids): a track for each video, ids rising; rows without an integer frame go."""
+    """(video_id, frame_ids): a track for each video, its ids rising, each once; rows without an integer frame go."""
     typed = rows.select("video_id", scalars.whole_number(F.col("frame_id")).alias("f")).where("video_id <> '' and f is not null")
-    return typed.groupBy("video_id").agg(F.array_sort(F.collect_list("f")).alias("frame_ids"))
+    return typed.groupBy("video_id").agg(F.array_sort(F.collect_set("f")).alias("frame_ids"))
 
 
 def toggled(tray: DataFrame, toggles: DataFrame, key: str = "key") -> DataFrame:
@@ -58,6 +58,12 @@ def toggled(tray: DataFrame, toggles: DataFrame, key: str = "key") -> DataFrame:
     return turns.groupBy(key).count().where("count % 2 = 1").select(key)
 
 
+def tray_order(tray: DataFrame) -> DataFrame:
+    """Rows of a tray by frame number; what is no number counts as 0, and equal numbers go by the order of selection."""
+    number = F.regexp_extract(F.trim(F.coalesce(F.col("frame_id").cast("string"), F.lit(""))), "^[+-]?[0-9]+", 0).try_cast("bigint")
+    return tray.orderBy(F.coalesce(number, F.lit(0)), "pos")
+
+
 def submission_violations(rows: DataFrame, kind: str, events: int = 0) -> DataFrame:
     """(query_name, row, rule) for rows (query_name, row, cells) of submission files that break an official rule."""
     cells = F.col("cells")

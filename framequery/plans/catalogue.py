@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import encoders, scalars, vectors
-from ..operators import answers, corpus, evaluate, keyframes, objects, retrieval, shaping
+from ..operators import ann, answers, corpus, evaluate, keyframes, objects, retrieval, shaping
 from ..sources import bridge
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -240,7 +240,7 @@ def object_delta_rank(spark, sf_dir):
     from pyspark.sql import Window
 
     hits = retrieval.top_k(bridge.frames(spark, sf_dir), _vectors(spark, sf_dir, 0)[0], 100)
-    found = objects.filter_and_rank(hits, _docs(spark, sf_dir), WORDS)
+    found = objects.filter_and_rank(hits, objects.clean_detections(bridge.detections(spark, sf_dir)), WORDS)
     place = F.row_number().over(Window.orderBy(F.col("distance").desc(), "object_count_delta", "retrieval_rank"))  # over at most 100 rows
     return found.select("id", F.round("distance", 6).alias("distance"), F.round("object_count_delta", 6).alias("delta"), place.cast("bigint").alias("place"))
 
@@ -263,10 +263,10 @@ def thumbnail_template(spark, sf_dir):
     return _nearest(spark, sf_dir).select("id", scalars.thumbnail(_TEMPLATE, F.col("video_id"), F.col("shot_id"), F.col("frame_id"), F.col("keyframe_number")).alias("thumbnail"))
 
 
-@query("SELECT CASE WHEN id = 0 THEN video_id || ':' || shot_id || ':' || frame_id ELSE id::VARCHAR END AS result_id, frame_id, video_id, 1.0::DOUBLE AS score, video_id || ' frame ' || frame_id AS title, concat_ws(' ', nullif(asr_text, ''), nullif(ocr_text, '')) AS description, '/i/' || frame_id || '.jpg' AS thumbnail, 'Milvus hybrid search' AS reason FROM frame_text")
+@query("SELECT CASE WHEN id = 0 THEN video_id || ':' || shot_id || ':' || frame_id ELSE id::VARCHAR END AS result_id, frame_id, video_id, 1.0::DOUBLE AS score, video_id || ' frame ' || frame_id AS title, concat_ws(' ', nullif(asr_text, ''), nullif(ocr_text, '')) AS description, '/i/' || frame_id || '.jpg' AS thumbnail, 'Milvus hybrid search' AS reason, video_id AS \"videoId\", CASE WHEN shot_id = 0 THEN '' ELSE shot_id::VARCHAR END AS \"shotId\", '' AS \"videoUrl\", 0 AS matches, ocr_text AS raw_text, frame_id::VARCHAR AS raw_frame FROM frame_text")
 def result_projection(spark, sf_dir):
     found = shaping.results(bridge.frame_text(spark, sf_dir), "/i/{frame_id}.jpg")
-    return found.select("result_id", "frame_id", "video_id", "score", "title", "description", "thumbnail", F.array_join("reasons", "; ").alias("reason"))
+    return found.select("result_id", "frame_id", "video_id", "score", "title", "description", "thumbnail", F.array_join("reasons", "; ").alias("reason"), "videoId", "shotId", "videoUrl", F.size("objectMatches").alias("matches"), F.get_json_object("raw", "$.ocr_text").alias("raw_text"), F.get_json_object("raw", "$.frame_id").alias("raw_frame"))
 
 
 _UI = "SELECT id, CASE WHEN id % 5 = 0 THEN '/x/' || id || '.png' WHEN keyframe_number IS NOT NULL AND id % 5 < 3 THEN '/keyframes/' || video_id || '/' || printf('%03d', keyframe_number) || '.jpg' ELSE '/keyframes/' || video_id || '/' || frame_id || '.png' END AS path FROM frames JOIN nearest USING (id)"
@@ -352,6 +352,25 @@ def bm25_topk(spark, sf_dir):
     return found.select("doc_id", F.round("score", 6).alias("score"))
 
 
+_BATCH = {1: "idiot license token", 2: "The old house, a river", 3: "privacy secrets", 4: "zzzz"}
+_TERMS = "SELECT DISTINCT query_id, unnest(" + TOKENS.format("query") + ") AS term FROM (VALUES " + ", ".join(f"({k}, '{q}')" for k, q in _BATCH.items()) + ") q(query_id, query)"
+
+
+@query(("SELECT query_id, doc_id, round(s, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, doc_id) AS rank FROM (SELECT t.query_id, p.doc_id, sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.8::DOUBLE / (tf + 1.8::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))) AS s FROM (SELECT doc_id, term, count(*) AS tf, any_value(dl) AS dl FROM (SELECT doc_id, unnest(w) AS term, len(w) AS dl FROM words) GROUP BY 1, 2) p JOIN (" + _TERMS + ") t USING (term) JOIN (SELECT term, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest(w) AS term FROM words) GROUP BY 1) USING (term) CROSS JOIN (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM words) GROUP BY 1, 2)) WHERE rank <= 20").replace("words", "(SELECT doc_id, " + TOKENS.format("text") + " AS w FROM documents)"))
+def bm25_batch(spark, sf_dir):
+    asked = spark.createDataFrame(list(_BATCH.items()), "query_id long, query string")
+    index = retrieval.postings(bridge.table(spark, sf_dir, "documents"), "doc_id", "text")
+    return retrieval.bm25_batch(index, asked, "doc_id", 20).select("query_id", "doc_id", F.round("score", 6).alias("score"))
+
+
+@query()
+def ann_topk(spark, sf_dir):
+    f = bridge.frames(spark, sf_dir)
+    centroids = ann.fit_centroids(f)
+    found = ann.search_batch(ann.with_cell(f, centroids), centroids, bridge.queries(spark, sf_dir), 10, ann.fit_probes(f, centroids))
+    return found.select("query_id", "id", F.round("distance", 6).alias("distance"), "retrieval_rank")
+
+
 @query(f"SELECT doc_id, len(w) AS tokens, len(list_distinct(w)) AS distinct_tokens FROM (SELECT doc_id, {TOKENS.format('text')} AS w FROM documents)")
 def token_counts(spark, sf_dir):
     w = scalars.tokens(F.col("text"))
@@ -363,7 +382,13 @@ def weighted_fusion(spark, sf_dir):
     f = bridge.frames(spark, sf_dir)
     a, b = (vectors.as_vector(v) for v in _vectors(spark, sf_dir, 0, 1))
     e = vectors.as_vector(F.col("embedding"))
-    lists = [f.select("id", vectors.cosine(e, a).alias("score")), f.select("id", vectors.inner(e, b).alias("score"))]
+    return retrieval.fuse_scores(f, [vectors.cosine(e, a), vectors.inner(e, b)], [0.7, 0.3], 20).select("id", F.round("score", 6).alias("score"))
+
+
+@query("SELECT id, round(sum(w * s), 6) AS score FROM (SELECT 0.7::DOUBLE AS w, id, score AS s FROM (" + _top_sql(0, "frames", 50) + ") UNION ALL SELECT 0.3::DOUBLE, id, score FROM (" + _top_sql(1, "frames", 50) + ")) GROUP BY id ORDER BY sum(w * s) DESC, id LIMIT 20")
+def hit_fusion(spark, sf_dir):
+    f = bridge.frames(spark, sf_dir)
+    lists = [retrieval.top_k(f, v, 50).select("id", F.col("distance").alias("score")) for v in _vectors(spark, sf_dir, 0, 1)]
     return retrieval.fuse(lists, [0.7, 0.3], 20).select("id", F.round("score", 6).alias("score"))
 
 
@@ -378,6 +403,53 @@ def dedup_stats(spark, sf_dir):
     return corpus.dedup_stats(corpus.with_status(bridge.frames(spark, sf_dir)))
 
 
+@query("SELECT id, video_id, frame_id, shot_id, len(embedding) AS numbers, CAST(NULL AS VARCHAR) AS ocr_text FROM frames f WHERE id NOT IN (SELECT right_id FROM pairs WHERE similarity > 0.4)")
+def build_corpus(spark, sf_dir):
+    kept, _ = corpus.build_corpus(bridge.frames(spark, sf_dir))
+    return kept.select("id", "video_id", "frame_id", "shot_id", F.size("embedding").cast("bigint").alias("numbers"), "ocr_text")
+
+
+@query("SELECT f.id, CASE WHEN f.frame_id % 1000 < 900 THEN f.frame_id // 1000 END AS shot FROM frames f")
+def shots_of_frames(spark, sf_dir):
+    f = bridge.frames(spark, sf_dir)
+    k = F.floor(F.col("frame_id") / 1000)
+    shots = f.select("video_id", k.alias("shot_id"), (k * 1000).alias("start"), (k * 1000 + 899).alias("end")).distinct()
+    return corpus.shots_of_frames(f, shots).select("id", F.col("shot_id").alias("shot"))
+
+
+_SHAPES = "CASE event_id % 4 WHEN 0 THEN {0} WHEN 1 THEN {1} WHEN 2 THEN {2} ELSE {3} END"
+
+
+@query("SELECT label, sum(n)::BIGINT AS quantity FROM (SELECT event_type AS label, " + _SHAPES.format(3, 3, 4, 0) + " AS n FROM events WHERE event_id % 4 < 3 UNION ALL SELECT 'x', 1 FROM events WHERE event_id % 4 = 0) GROUP BY 1")
+def object_summary_shapes(spark, sf_dir):
+    kind, k = F.col("event_type"), F.col("event_id") % 4
+    shape = lambda text: F.format_string(text, *[kind] * text.count("%s"))
+    doc = F.when(k == 0, shape('{"objects": {" %s": "3", "X": 0}}')).when(k == 1, shape('{"labels": ["%s", 5, {"name": "%s", "count": 2}]}')).when(k == 2, shape('{"objects": [], "detections": [{"object": "%s", "quantity": 4.7}]}')).otherwise(F.lit("oops"))
+    found = bridge.table(spark, sf_dir, "events").select(F.explode(objects.summary(doc)).alias("label", "n"))
+    return found.groupBy("label").agg(F.sum("n").alias("quantity"))
+
+
+_SAID = "SELECT query_id // 50 AS i, task_id, CASE WHEN query_id // 50 % 13 = 0 THEN 'x' || task_id ELSE task_id END AS ranked_id FROM tasks"
+
+
+@query(
+    "SELECT DISTINCT message, \"order\" FROM (SELECT CASE WHEN i % 7 = 0 THEN 'task_id ' || task_id || ' requires at least one relevant frame' END AS message, 6 AS \"order\" FROM ("
+    + _SAID + ") UNION ALL SELECT 'ranking for task_id ' || ranked_id || ' requires results', 4 FROM (" + _SAID + ") WHERE i % 5 = 4 UNION ALL SELECT 'task card and ranking task_ids must match', 5 FROM (" + _SAID + ") WHERE i % 13 = 0"
+    + " UNION ALL SELECT 'each frame requires video_id and frame_id', 7 FROM (" + _SAID + ") WHERE i % 7 = 5 UNION ALL SELECT 'relevance must be a positive integer', 8 FROM (" + _SAID + ") WHERE i % 7 IN (1, 2, 3) UNION ALL SELECT 'duplicate relevant frame for task_id ' || task_id, 9 FROM (" + _SAID + ") WHERE i % 7 = 4"
+    + " UNION ALL SELECT 'ranking results must be a list', 10 FROM (" + _SAID + ") WHERE i % 5 IN (0, 1) UNION ALL SELECT 'each frame requires video_id and frame_id', 11 FROM (" + _SAID + ") WHERE i % 5 = 2 UNION ALL SELECT 'task card requires task_type', 12 FROM (" + _SAID + ") WHERE i % 11 = 0) WHERE message IS NOT NULL"
+)
+def eval_violations(spark, sf_dir):
+    i = F.floor(F.col("query_id") / 50)
+    one_of = lambda n, texts: F.parse_json(F.element_at(F.array(*[F.lit(t) for t in texts]), (i % n + 1).cast("int")))
+    frame = '[{"video_id": "v", "frame_id": 1%s}]'
+    relevant = one_of(7, ["[]", frame % ', "relevance": true', frame % ', "relevance": "2"', frame % ', "relevance": 1.5', '[{"video_id": "v", "frame_id": 1}, {"videoId": "v", "frameId": "1"}]', '[{"video_id": "", "frame_id": 1}]', frame % ', "relevance": 2'])
+    t = bridge.tasks(spark, sf_dir)
+    cards = t.select("task_id", F.when(i % 11 == 0, F.parse_json(F.lit("5"))).otherwise(F.parse_json(F.lit('"KIS"'))).alias("task_type"), relevant.alias("relevant_frames"))
+    results = F.when(i % 5 < 4, one_of(5, ["null", '"oops"', '[{"videoId": "v", "frameId": ""}]', "[]", "0"]))
+    ranked = t.select(F.when(i % 13 == 0, F.concat(F.lit("x"), "task_id")).otherwise(F.col("task_id")).alias("task_id"), results.alias("results"))
+    return evaluate.violations(cards, ranked)
+
+
 def _cases(spark, sf_dir):
     c = bridge.table(spark, sf_dir, "conversations")
     return c.select(F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("case_id"), "role", F.col("conv_id").alias("path"), F.col("turn").alias("pos"))
@@ -412,9 +484,10 @@ def canonical_ids(spark, sf_dir):
 _INT = f"CASE WHEN regexp_full_match(trim({_RAW}), '[+-]?[0-9]+') THEN trim({_RAW})::BIGINT END"
 
 
-@query(f"SELECT event_id, {_INT} AS as_int, TRY_CAST(nullif(trim({_RAW}), '') AS DOUBLE) AS as_real, greatest(coalesce({_INT}, 1), 1) AS amount FROM events")
+@query(f"SELECT event_id, {_INT} AS as_int, TRY_CAST(nullif(trim({_RAW}), '') AS DOUBLE) AS as_real, greatest(coalesce({_INT}, 1), 1) AS amount, CASE WHEN event_id % 3 > 0 THEN trunc(value)::BIGINT END AS of_double, event_id AS of_long, CASE WHEN event_id % 2 = 0 THEN 1 ELSE 0 END::BIGINT AS of_boolean FROM events")
 def safe_casts(spark, sf_dir):
-    return bridge.table(spark, sf_dir, "events").select("event_id", scalars.whole_number(_raw()).alias("as_int"), scalars.real_number(_raw()).alias("as_real"), scalars.count_of(_raw()).alias("amount"))
+    return bridge.table(spark, sf_dir, "events").select("event_id", scalars.whole_number(_raw()).alias("as_int"), scalars.real_number(_raw()).alias("as_real"), scalars.count_of(_raw()).alias("amount"),
+        scalars.whole_number(F.when(F.col("event_id") % 3 > 0, F.col("value")).otherwise(F.lit(float("nan")))).alias("of_double"), scalars.whole_number(F.col("event_id")).alias("of_long"), scalars.whole_number(F.col("event_id") % 2 == 0).alias("of_boolean"))
 
 
 @query(f"SELECT event_id, CASE WHEN {_INT} > 0 THEN {_INT} ELSE 1 END AS quantity, ({_RAW} <> '' OR event_id % 2 = 0) AS identified FROM events")
@@ -422,7 +495,7 @@ def quantity_identity(spark, sf_dir):
     return bridge.table(spark, sf_dir, "events").select("event_id", answers.quantity(_raw()).alias("quantity"), answers.has_identity(_raw(), F.when(F.col("event_id") % 2 == 0, F.col("user_id"))).alias("identified"))
 
 
-@query(f"SELECT event_type AS video_id, string_agg(f::VARCHAR, ',' ORDER BY f) AS frame_ids FROM (SELECT event_type, {_INT} AS f FROM events) WHERE f IS NOT NULL GROUP BY 1")
+@query(f"SELECT event_type AS video_id, string_agg(f::VARCHAR, ',' ORDER BY f) AS frame_ids FROM (SELECT DISTINCT event_type, {_INT} AS f FROM events) WHERE f IS NOT NULL GROUP BY 1")
 def trake_grouping(spark, sf_dir):
     e = bridge.table(spark, sf_dir, "events").select(F.col("event_type").alias("video_id"), _raw().alias("frame_id"))
     return answers.trake_groups(e).select("video_id", F.array_join(F.col("frame_ids").cast("array<string>"), ",").alias("frame_ids"))
@@ -472,4 +545,4 @@ def encode_texts(spark, sf_dir):
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: a staged search of three queries, objects matched and ranked, results shaped."""
     hits = retrieval.staged(bridge.frames(spark, sf_dir), _vectors(spark, sf_dir, 0, 1, 2), 100)
-    return shaping.results(objects.filter_and_rank(hits, _docs(spark, sf_dir), [objects.ObjectQuery("view")]), "/i/{frame_id}.jpg")
+    return shaping.results(objects.filter_and_rank(hits, objects.clean_detections(bridge.detections(spark, sf_dir)), [objects.ObjectQuery("view")]), "/i/{frame_id}.jpg")

@@ -5,24 +5,29 @@ from __future__ import annotations
 import hashlib
 import json
 from pathlib import Path
+from urllib.parse import unquote, urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 DETECTION_COLUMNS = ("video_id", "frame_id", "object", "quantity", "bbox_x", "bbox_y", "bbox_w", "bbox_h")
-FRAME = "struct<video_id:string,frame_id:string,relevance:int,keyframe_number:int>"
-TASK_CARD = f"task_id string, task_type string, relevant_frames array<{FRAME}>"
-RANKING = "task_id string, results array<struct<video_id:string,frame_id:string,videoId:string,frameId:string>>"
-CASE = f"case_id string, task_type string, query struct<texts:array<string>>, relevant_frames array<{FRAME}>, expected_answer string, answer_type string, expected_track array<string>, track_order string, source string, annotation_status string, review_required boolean"
+TASK_CARD = "task_id string, task_type variant, relevant_frames variant"
+RANKING = "task_id string, results variant"
+CASE = "case_id variant, task_type variant, query variant, relevant_frames variant, expected_answer string, answer_type string, expected_track variant, track_order variant, source variant, annotation_status string, review_required boolean, keyframe_number bigint"
 
 
-def existing_file(path: str | Path | None, name: str) -> Path | None:
-    """The file of a setting; None if the setting is blank."""
+def existing_file(path: str | Path | None, name: str, base: str | Path | None = None) -> Path | None:
+    """The file of a setting; None if the setting is blank. A relative path is looked for below `base`, then below the
+    working directory."""
     if path is None or not str(path).strip():
         return None
-    found = Path(path)
+    given = Path(str(path).strip()).expanduser()
+    places = [given] if given.is_absolute() else [(Path(base or ".") / given).resolve(), given.resolve()]
+    found = next((p for p in places if p.exists()), places[0])
+    if not found.exists():
+        raise RuntimeError(f"{name} does not exist: {found}")
     if not found.is_file():
-        raise RuntimeError(f"{name} does not exist or is not a file: {path}")
+        raise RuntimeError(f"{name} is not a file: {found}")
     return found
 
 
@@ -52,18 +57,34 @@ def read_frame_lookup(spark: SparkSession, path: str) -> DataFrame:
     return df.select("video_id", F.col("frame_id").try_cast("bigint").alias("frame_id"), "shot_id").where("frame_id is not null")
 
 
+def _numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, at, value) of the lines of text files; `at` rises along a file. A file's lines are read in splits, so numbers
+    of lines take the lines of the splits before into account only where an error asks for one (line_number)."""
+    return spark.read.text(path, recursiveFileLookup=Path(path).is_dir(), pathGlobFilter="*.jsonl" if Path(path).is_dir() else "*").select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"), "value")
+
+
+def _line_number(lines: DataFrame, file: str, at: int) -> int:
+    return lines.where((F.col("file") == file) & (F.col("at") <= at)).count()
+
+
+def _said_path(file: str) -> str:
+    return unquote(urlsplit(file).path) if file.startswith("file:") else file
+
+
+def _json_objects(lines: DataFrame) -> DataFrame:
+    """lines that are not blank; ValueError for the first that holds no JSON object, by file and line."""
+    full = lines.where("trim(value) <> ''")
+    parsed = full.withColumn("kind", F.expr("schema_of_variant(try_parse_json(value))"))
+    if bad := parsed.where("kind is null or not startswith(kind, 'OBJECT')").orderBy("file", "at").limit(1).collect():
+        row = bad[0]
+        place = f"{_said_path(row['file'])} at line {_line_number(lines, row['file'], row['at'])}"
+        raise ValueError(f"invalid JSON in {place}" if row["kind"] is None else f"JSONL record in {place} must be an object")
+    return full
+
+
 def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Objects of a JSON-lines file. Blank lines are skipped; the first line that is no object is named in the error."""
-    lines = spark.read.text(path).withColumn("line", F.monotonically_increasing_id()).where("trim(value) <> ''")
-    typed = lines.withColumn("kind", F.expr("try_variant_get(try_parse_json(value), '$', 'map<string,variant>')"))
-    if bad := typed.where("kind is null").orderBy("line").limit(1).collect():
-        at = spark.read.text(path).limit(int(bad[0]["line"]) + 1).count() if bad[0]["line"] < 1 << 33 else bad[0]["line"] + 1
-        try:
-            json.loads(bad[0]["value"])
-        except json.JSONDecodeError:
-            raise ValueError(f"invalid JSON in {path} at line {at}") from None
-        raise ValueError(f"JSONL record in {path} at line {at} must be an object")
-    return lines.select(F.from_json("value", schema).alias("x")).select("x.*")
+    return _json_objects(_numbered_lines(spark, path)).select(F.from_json("value", schema).alias("x")).select("x.*")
 
 
 def read_json_object(path: str | Path) -> dict:
@@ -78,15 +99,19 @@ def read_json_object(path: str | Path) -> dict:
 
 def read_cases(spark: SparkSession, folder: str) -> DataFrame:
     """Cases of all JSON-lines files below a folder in order of path and line, each with a unique id."""
-    df = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").schema(CASE).json(folder)
-    df = df.select("*", F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("pos"))
-    if df.isEmpty():
-        raise ValueError(f"no cases in {folder}")
-    if df.where("coalesce(trim(case_id), '') = ''").limit(1).count():
-        raise ValueError("each case requires case_id")
-    if twice := df.groupBy("case_id").count().where("count > 1").orderBy("case_id").limit(1).collect():
-        raise ValueError(f"duplicate case_id: {twice[0][0]}")
-    return df
+    if not any(Path(folder).rglob("*.jsonl")):
+        raise ValueError(f"no case files found under {folder}")
+    lines = _numbered_lines(spark, folder)
+    full = _json_objects(lines).select("file", "at", F.from_json("value", CASE).alias("x"))
+    name = F.when(F.schema_of_variant(F.col("x.case_id")) == "STRING", F.try_variant_get(F.col("x.case_id"), "$", "string"))
+    cases = full.select(F.col("file").alias("path"), F.col("at").alias("pos"), name.alias("case_id"), *[F.col(f"x.{c.strip().split()[0]}") for c in CASE.split(",")[1:]])
+    if nameless := cases.where("coalesce(trim(case_id), '') = ''").orderBy("path", "pos").limit(1).collect():
+        row = nameless[0]
+        raise ValueError(f"{_said_path(row['path'])} line {_line_number(lines, row['path'], row['pos'])} requires a non-empty case_id")
+    order = F.struct("path", "pos")
+    if twice := cases.groupBy("case_id").agg(F.count("*").alias("n"), F.get(F.sort_array(F.collect_list(order)), F.lit(1)).alias("second")).where("n > 1").orderBy("second").limit(1).collect():
+        raise ValueError(f"duplicate case_id {twice[0]['case_id']} in {_said_path(twice[0]['second']['path'])}")
+    return cases
 
 
 def read_images(spark: SparkSession, folder: str) -> DataFrame:
@@ -94,10 +119,13 @@ def read_images(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def tree_fingerprint(spark: SparkSession, folder: str) -> str:
-    """SHA-256 over relative paths and sizes, ordered by path segments; contents are not read."""
+    """SHA-256 over relative paths and sizes, each followed by a zero byte, ordered by path segments; contents are not read."""
+    if not Path(folder).is_dir():
+        raise ValueError(f"keyframes directory not found: {folder}")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", "length")
     base = Path(folder).resolve().as_uri().removeprefix("file://")
+    inner = F.ltrim(F.replace(F.regexp_replace("path", "^file:/+", "/"), F.lit(base), F.lit("")), F.lit("/"))
     sha = hashlib.sha256()
-    for r in files.withColumn("p", F.regexp_replace("path", "^file:/+", "/")).orderBy(F.split("p", "/")).toLocalIterator():
-        sha.update(f"{r['p'].removeprefix(base).lstrip('/')}:{r['length']}\n".encode())
+    for r in files.select(inner.alias("p"), "length").orderBy(F.split("p", "/")).toLocalIterator():
+        sha.update(f"{unquote(r['p'])}\0{r['length']}\0".encode())
     return sha.hexdigest()

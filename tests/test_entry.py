@@ -22,6 +22,15 @@ def test_entry_stands_without_the_corpus_operators(tmp_path):
     assert done.returncode == 0, done.stderr
 
 
+def test_entry_stands_with_a_hollow_folder(tmp_path):
+    """What is left of a deleted folder may be no more than compiled files."""
+    (tmp_path / "framequery" / "llm" / "__pycache__").mkdir(parents=True)
+    hollow = WITHOUT.replace("shutil.copytree(", "shutil.rmtree(to + '/framequery'); shutil.copytree(", 1) + "\n"
+    hollow = hollow.replace("sys.path.insert(0, to)", "import os; os.makedirs(to + '/framequery/llm/__pycache__'); sys.path.insert(0, to)")
+    done = subprocess.run([sys.executable, "-c", hollow, str(ROOT), str(tmp_path)], cwd=tmp_path, capture_output=True, text=True)
+    assert done.returncode == 0, done.stderr
+
+
 def test_no_other_module_imports_the_corpus_operators():
     for path in (ROOT / "framequery").rglob("*.py"):
         if "llm" not in path.parts:
