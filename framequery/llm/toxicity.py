@@ -99,10 +99,23 @@ class Sample:
         self.amount = np.concatenate(counts)[keep].astype(np.float32)
 
 
+#: Coordinates that are worked on at once.
+PIECE = 1 << 18
+
+
+def summed(at: np.ndarray, n: int, weights) -> np.ndarray:
+    """Sums of weights(a, b), those of the coordinates a to b, by their place `at`; a piece at a time, to spare memory."""
+    out = np.zeros(n)
+    for a in range(0, len(at), PIECE):
+        out += np.bincount(at[a : a + PIECE], weights(a, a + PIECE), minlength=n)
+    return out
+
+
 def fit(sample: Sample, grades: np.ndarray, n_grades: int, penalty: float = PENALTY, steps: int = STEPS, rate: float = RATE) -> OrdinalModel:
     """Maximum likelihood with an L2 penalty by Adam."""
     ids, line, column = sample.ids, sample.line, sample.column
-    value = np.log1p(sample.amount) * (SCALE / np.sqrt(sample.n_words))[line].astype(np.float32)
+    value = np.log1p(sample.amount)
+    value *= (SCALE / np.sqrt(sample.n_words)).astype(np.float32)[line]
     n, levels = sample.n, n_grades - 1
     l2 = penalty / n
     w = np.zeros(len(ids), np.float32)
@@ -112,7 +125,7 @@ def fit(sample: Sample, grades: np.ndarray, n_grades: int, penalty: float = PENA
     moments = [np.zeros(len(ids) + levels) for _ in range(2)]
     for step in range(1, steps + 1):
         t = np.cumsum(np.concatenate([free[:1], np.exp(free[1:])]))
-        margin = np.bincount(line, value * w[column], minlength=n)
+        margin = summed(line, n, lambda a, b: value[a:b] * w[column[a:b]])
         edges = np.concatenate([[-np.inf], t, [np.inf]])
         up = 1 / (1 + np.exp(np.clip(margin - edges[grades + 1], -50, 50)))  # P(grade <= g)
         down = 1 / (1 + np.exp(np.clip(margin - edges[grades], -50, 50)))  # P(grade <= g - 1)
@@ -121,7 +134,7 @@ def fit(sample: Sample, grades: np.ndarray, n_grades: int, penalty: float = PENA
         g_margin = (d_up - d_down) / n  # of the negative logarithm of the likelihood
         g_t = np.bincount(grades, -d_up / n, minlength=levels + 1)[:levels] + np.bincount(grades, d_down / n, minlength=levels + 1)[1:]
         g_free = np.cumsum(g_t[::-1])[::-1] * np.concatenate([[1.0], np.exp(free[1:])])
-        g = np.concatenate([np.bincount(column, value * g_margin[line], minlength=len(ids)) + l2 * w, g_free])
+        g = np.concatenate([summed(column, len(ids), lambda a, b: value[a:b] * g_margin[line[a:b]]) + l2 * w, g_free])
         moments[0] = 0.9 * moments[0] + 0.1 * g
         moments[1] = 0.99 * moments[1] + 0.01 * g * g
         move = rate * (1 - step / (steps + 1)) * (moments[0] / (1 - 0.9**step)) / (np.sqrt(moments[1] / (1 - 0.99**step)) + 1e-8)
@@ -164,6 +177,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     unpack = lambda c: [x.values.to_numpy(zero_copy_only=False) for x in got.column(c)]
     sparse = Sample([x.view(np.uint32) for x in unpack("ids")], unpack("counts"), got.column("n_words").to_numpy())
     del got
+    pa.default_memory_pool().release_unused()
     return fit(sparse, grades_of(sparse, toxic, n_grades), n_grades)
 
 
