@@ -278,6 +278,12 @@ def ui_image_path(spark, sf_dir):
     return _nearest(spark, sf_dir).select("id", shaping.ui_image_path(F.when(i == 0, F.concat(F.lit("/x/"), F.col("id").cast("string"), F.lit(".png"))), F.col("video_id"), F.col("frame_id"), F.when(i < 3, F.col("keyframe_number"))).alias("path"))
 
 
+@query("SELECT id, CASE WHEN id % 3 = 0 THEN path ELSE 'http://m/base' || path END AS url FROM (SELECT id, CASE WHEN id % 3 = 0 THEN 'https://h/' || id || '.jpg' ELSE '/keyframes/' || video_id || '/' || frame_id || '.png' END AS path FROM frames)")
+def static_url(spark, sf_dir):
+    path = F.when(F.col("id") % 3 == 0, F.concat(F.lit("https://h/"), F.col("id").cast("string"), F.lit(".jpg"))).otherwise(shaping.ui_image_path(F.lit(None), F.col("video_id"), F.col("frame_id"), F.lit(None).cast("bigint")))
+    return bridge.frames(spark, sf_dir).select("id", scalars.joined_url("http://m/base/", path).alias("url"))
+
+
 @query("SELECT video_id, frame_id, row_number() OVER w AS position, count(*) OVER (PARTITION BY video_id) AS frames, coalesce(lag(frame_id) OVER w, frame_id) AS previous, coalesce(lead(frame_id) OVER w, frame_id) AS next FROM frames WINDOW w AS (PARTITION BY video_id ORDER BY frame_id)")
 def filmstrip_neighbours(spark, sf_dir):
     return shaping.neighbours(bridge.frames(spark, sf_dir))
