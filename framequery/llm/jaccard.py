@@ -247,9 +247,13 @@ def _blocks(members: DataFrame, nodes: DataFrame) -> DataFrame:
     large = massed.where(F.col("mass") > BLOCK)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = materialize(large.repartitionByRange(n, "grp", "labels", "set_id").withColumn("part", F.spark_partition_id()), "large-groups")
+    # weights summed up along the sorted labels: within each range, and over the ranges before it
+    before = Window.partitionBy("grp").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = ranged.groupBy("grp", "part").agg(F.sum("weight").alias("size"))
+    parts = parts.select("grp", "part", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("earlier"))
     along = Window.partitionBy("part", "grp").orderBy("labels", "set_id")
-    number = F.col("part").cast("long") * (1 << 32) + F.floor((F.sum("weight").over(along) - 1) / BLOCK)
-    dealt = materialize(ranged.select("grp", "set_id", "copies", number.cast("long").alias("block")), "blocks")
+    summed = ranged.withColumn("within", F.sum("weight").over(along) - F.col("weight")).join(parts, ["grp", "part"])
+    dealt = materialize(summed.select("grp", "set_id", "copies", F.floor((F.col("earlier") + F.col("within")) / BLOCK).cast("long").alias("block")), "blocks")
     touched = nodes.join(dealt.select("set_id", "grp", "block"), "set_id").select("prefix", "grp", "block").distinct()
     other = touched.select("prefix", F.col("block").alias("other"))
     meet = touched.join(other, "prefix").where("block <= other").select("grp", F.col("block").alias("i"), F.col("other").alias("j")).distinct()

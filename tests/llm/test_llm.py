@@ -284,6 +284,26 @@ def near_copies(n, rng):
     return out
 
 
+@pytest.mark.parametrize("partitions", [1, 16])
+def test_a_group_has_as_many_blocks_as_its_sets_ask_for(spark, monkeypatch, partitions):
+    monkeypatch.setattr(jaccard, "BLOCK", 100)
+    monkeypatch.setattr(jaccard, "MOST", 5)
+    monkeypatch.setattr(common, "HOT", 10)
+    members = spark.createDataFrame([(bytes([k]), 10, 1, bytes([k // 2, k]), b"g") for k in range(60)] + [(bytes([100 + k]), 10, 1, bytes([k]), b"h") for k in range(3)], "set_id binary, n_shingles long, copies long, labels binary, grp binary")
+    nodes = spark.createDataFrame([(b"p", bytes([k])) for k in range(60)], "prefix binary, set_id binary")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    try:
+        got = jaccard._blocks(members, nodes).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    large = [r for r in got if bytes(r["grp"]) == b"g"]
+    count = 60 * 20 // 100  # a set weighs BLOCK / MOST at least
+    assert {(r["i"], r["j"]) for r in large} == {(i, j) for i in range(count) for j in range(i, count)}
+    assert Counter((bytes(r["set_id"]), r["block"]) for r in large) == Counter({(bytes([k]), k * 20 // 100): count for k in range(60)})
+    assert [(r["i"], r["j"], r["block"]) for r in got if bytes(r["grp"]) == b"h"] == [(0, 0, 0)] * 3
+
+
 @pytest.mark.parametrize("small", [2, 8, 32])
 def test_forest_shortens_until_the_recall_is_met(spark, monkeypatch, small):
     rows = list(enumerate(near_copies(80, random.Random(23))))
