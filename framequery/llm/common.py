@@ -182,23 +182,43 @@ def join_spread(many: DataFrame, few: DataFrame, keys: list[str], total: int, ti
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, root) for every node of the undirected edges (a, b); root is the smallest node of its component.
 
-    Every round takes the smallest label among the neighbours, then the label of that label, so that labels
-    travel twice as far each time. No round gathers a component: all steps are partial aggregations and joins of slim rows,
-    both sides straight from an exchange, which adaptive execution splits where a node has very many edges.
+    Every node takes the smallest of itself and its neighbours, and these steps are followed to their ends. The edges that
+    are left between different ends, each once, are the edges of the next level; the others are not read again. The
+    smallest node of a component is an end at every level. No level gathers a component: all steps are partial aggregations
+    and joins of slim rows, both sides straight from an exchange, which adaptive execution splits where a node has very
+    many edges. No join has more rows than there are edges.
     """
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
-    both = materialize(both, f"{name}-edges", rows=F.count(F.lit(1)))
-    table = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("root")), f"{name}-labels")
-    moved = both.observed["rows"]
-    while moved:
-        met = both.join(table, both.b == table.node)
-        near = met.groupBy(F.col("a").alias("node")).agg(F.min("root").alias("seen"))
-        low = table.join(near, "node").select("node", F.col("root").alias("was"), F.least("root", "seen").alias("low"))
-        hop = table.select(F.col("node").alias("low"), F.col("root").alias("via"))
-        stepped = low.join(hop, "low").select("node", F.least("low", "via").alias("root"), "was")
-        stepped = materialize(stepped, f"{name}-labels", moved=F.count_if(F.col("root") != F.col("was")))
-        discard(table)
-        table, moved = stepped.drop("was"), stepped.observed["moved"]
-        table._written = stepped._written
-    discard(both)
+    count = {"rows": F.count(F.lit(1))}
+
+    def once(pairs: DataFrame) -> DataFrame:
+        """Each edge between two nodes once; one node to itself is none."""
+        return materialize(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{name}-edges", **count)
+
+    edges = once(edges.select("a", "b"))
+    table = None
+    while table is None or edges.observed["rows"]:
+        low = edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root"))
+        low = low.unionByName(edges.select(F.col("a").alias("node"), F.col("a").alias("root")))
+        level = materialize(low.groupBy("node").agg(F.min("root").alias("root")), f"{name}-labels")
+        moved = edges.observed["rows"]
+        while moved:
+            via = level.select(F.col("node").alias("root"), F.col("root").alias("via"))
+            hop = level.join(via, "root").select("node", F.col("via").alias("root"), F.col("root").alias("was"))
+            hop = materialize(hop, f"{name}-labels", moved=F.count_if(F.col("root") != F.col("was")))
+            discard(level)
+            level, moved = hop.drop("was"), hop.observed["moved"]
+            level._written = hop._written
+        first = edges.join(level.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a")
+        ends = first.join(level.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b")
+        left = once(ends.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+        discard(edges)
+        edges = left
+        if table is None:
+            table = level
+            continue
+        up = level.select(F.col("node").alias("root"), F.col("root").alias("up"))
+        joined = materialize(table.join(up, "root", "left").select("node", F.coalesce("up", "root").alias("root")), f"{name}-labels")
+        discard(table, level)
+        table = joined
+    discard(edges)
     return table.select("node", "root")

@@ -112,20 +112,18 @@ def intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray
     return counts
 
 
-def forest(linked: np.ndarray) -> list[tuple[int, int]]:
-    """A spanning forest of the graph with this symmetric boolean matrix."""
-    n, unseen, ties = len(linked), np.ones(len(linked), bool), []
-    for r in range(n):
-        if not unseen[r]:
+def component_of(linked: np.ndarray) -> np.ndarray:
+    """For each vertex of the graph with this symmetric boolean matrix the least vertex of its component."""
+    root = np.full(len(linked), -1)
+    for r in range(len(linked)):
+        if root[r] >= 0:
             continue
-        unseen[r], front = False, [r]
+        root[r], front = r, [r]
         while front:
-            u = front.pop()
-            for v in np.flatnonzero(linked[u] & unseen).tolist():
-                unseen[v] = False
-                ties.append((u, v))
-                front.append(v)
-    return ties
+            new = np.flatnonzero(linked[front.pop()] & (root < 0))
+            root[new] = r
+            front += new.tolist()
+    return root
 
 
 def text_hash(text_col: str) -> Column:
@@ -273,67 +271,79 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> D
     groups = components(ties, "candidates")
 
     members = materialize(sets.join(groups, F.col("set_id") == F.col("node")).select("set_id", "one", "n_shingles", "copies", "labels", F.col("root").alias("grp")), "members")
-    pairs = _blocks(members.drop("one"), nodes)
+    pairs = materialize(_blocks(members.drop("one"), nodes), "block-pairs", across=F.count_if(F.col("i") < F.col("j")))
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, roll = hash_memo(), Rolling(ROLL_BASES[0])
         for batch in batches:
-            keep, sets = [], []
-            for set_id, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True):
+            keep, wide, sets = [], [], []
+            for set_id, text, several in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), batch.column(2).to_pylist(), strict=True):
                 s = shingles(text, memo, roll)
                 if set_digest(s) == set_id:
                     keep.append(set_id)
+                    wide.append(several)
                     sets.append(s.view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(keep, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], names=["set_id", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array(keep, pa.binary()), pa.array(wide, pa.bool_()), pa.array(sets, pa.list_(pa.int64()))], names=["set_id", "wide", "shingles"])
 
-    wanted = members.select(F.col("one.doc_id").alias("want"), F.col("one.text_hash").alias("hash"), "set_id")
+    # wide: sets of blocks that meet others, whose shingles are read again for these
+    across = pairs.where("i < j").select("set_id").distinct().withColumn("wide", F.lit(True))
+    wanted = members.join(across, "set_id", "left").select(F.col("one.doc_id").alias("want"), F.col("one.text_hash").alias("hash"), "set_id", F.coalesce("wide", F.lit(False)).alias("wide"))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), text_hash(text_col).alias("text_hash"))
-    full = texts.join(wanted.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("want")) & (F.col("text_hash") == F.col("hash"))).select("set_id", "text")
-    full = materialize(map_arrow(full, shingled, "set_id binary, shingles array<long>"), "shingles").dropDuplicates(["set_id"])
-    met = pairs.join(full, "set_id").select("grp", "i", "j", "block", "set_id", "copies", "shingles")
+    full = texts.join(wanted.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("want")) & (F.col("text_hash") == F.col("hash"))).select("set_id", "text", "wide")
+    full = materialize(map_arrow(full, shingled, "set_id binary, wide boolean, shingles array<long>"), "shingles")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def close(key, rows):
             i, j = key[1:]
             parts = [[r for r in rows if r[0] == b] for b in dict.fromkeys((i, j))]
             left, right = parts[0], parts[-1]
-            out: list[tuple] = []
             if not left or not right or len(rows) < 2:
-                return out
-            sets = [[r[3] for r in p] for p in (left, right)]
+                return []
+            sets = [[r[4] for r in p] for p in (left, right)]
             sizes = [np.array([len(s) for s in x], np.float64) for x in sets]
             both = intersections(*sets)
             linked = both >= threshold * (sizes[0][:, None] + sizes[1][None, :] - both) - 1e-9
             copies = [np.array([r[2] for r in p], np.int64) for p in (left, right)]
+            gained = (linked * copies[1][None, :]).sum(axis=1)
             if i == j:
-                np.fill_diagonal(linked, False)
-                gained, square = (linked * copies[0][None, :]).sum(axis=1), linked
+                gained -= copies[0]  # every set has a link to itself
             else:
-                gained = np.concatenate([(linked * copies[1][None, :]).sum(axis=1), (linked * copies[0][:, None]).sum(axis=0)])
-                n = len(left)
-                square = np.zeros((n + len(right),) * 2, bool)
-                square[:n, n:], square[n:, :n] = linked, linked.T
-            names = [r[1] for r in left] + ([r[1] for r in right] if i != j else [])
-            out += [(name, None, int(g)) for name, g in zip(names, gained.tolist(), strict=True) if g]
-            out += [(names[u], names[v], 0) for u, v in forest(square)]
-            return out
+                gained = np.concatenate([gained, (linked * copies[0][:, None]).sum(axis=0)])
+            names = [r[1] for p in parts for r in p]
+            # sets of one root are one vertex, so that blocks are tied by what holds each of them together
+            roots = sorted({r[3] for r in rows})
+            at = {root: k for k, root in enumerate(roots)}
+            u, v = (np.array([at[r[3]] for r in p]) for p in (left, right))
+            square = np.zeros((len(roots),) * 2, bool)
+            x, y = np.nonzero(linked)
+            square[u[x], v[y]] = square[v[y], u[x]] = True
+            out: list[tuple] = [(name, None, int(g)) for name, g in zip(names, gained.tolist(), strict=True) if g]
+            return out + [(roots[k], roots[r], 0) for k, r in enumerate(component_of(square).tolist()) if r != k]
 
         key, rows = None, []
         for batch in batches:
             out: list[tuple] = []
-            for g, i, j, block, name, copies, shingle in zip(*(batch.column(c).to_pylist() for c in range(6)), batch.column(6), strict=True):
+            for g, i, j, block, name, copies, root, shingle in zip(*(batch.column(c).to_pylist() for c in range(7)), batch.column(7), strict=True):
                 if (g, i, j) != key:
                     if rows:
                         out += close(key, rows)
                     key, rows = (g, i, j), []
-                rows.append((block, name, copies, shingle.values.to_numpy(zero_copy_only=False).view(np.uint64).copy()))
+                rows.append((block, name, copies, root, shingle.values.to_numpy(zero_copy_only=False).view(np.uint64).copy()))
             yield _ties(out)
         if rows:
             yield _ties(close(key, rows))
 
-    # all rows of a pair of blocks are together, in a row, in one partition; a pair holds about two BLOCKs
-    together = met.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j")
-    found = materialize(map_arrow(together, verify, "a binary, b binary, gained long"), "verified")
+    def verified(pairs: DataFrame, full: DataFrame) -> DataFrame:
+        """All rows of a pair of blocks are together, in a row, in one partition; a pair holds about two BLOCKs."""
+        met = pairs.join(full.select("set_id", "shingles").dropDuplicates(["set_id"]), "set_id").select("grp", "i", "j", "block", "set_id", "copies", "root", "shingles")
+        together = met.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j")
+        return materialize(map_arrow(together, verify, "a binary, b binary, gained long"), "verified")
+
+    found = verified(pairs.where("i = j").withColumn("root", F.col("set_id")), full)
+    if pairs.observed["across"]:
+        roots = found.where("b is not null").select(F.col("a").alias("set_id"), F.col("b").alias("root"))
+        rooted = pairs.where("i < j").join(roots, "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
+        found = found.unionByName(verified(rooted, full.where("wide")))
     classes = components(found.where("b is not null").select("a", "b"), "classes")
     gained = found.where("b is null").groupBy(F.col("a").alias("set_id")).agg(F.sum("gained").alias("gained"))
     named = sets.select("set_id", "least", "copies").join(classes, F.col("set_id") == F.col("node"), "left").drop("node").join(gained, "set_id", "left")

@@ -346,6 +346,44 @@ def test_components(spark):
     assert got == {x: roots[x] for e in edges if e[0] != e[1] for x in e}
 
 
+def rows_of_joins(spark, f) -> int:
+    """The rows that all joins of what f runs have made together."""
+    store, bus = spark._jsparkSession.sharedState().statusStore(), spark.sparkContext._jsc.sc().listenerBus()
+    before = store.executionsCount()
+    f()
+    bus.waitUntilEmpty(60_000)
+    runs, rows = store.executionsList(), 0
+    for run in (runs.apply(k) for k in range(before, runs.size())):
+        values, nodes = store.executionMetrics(run.executionId()), store.planGraph(run.executionId()).allNodes()
+        for node in (nodes.apply(k) for k in range(nodes.size())):
+            metrics = node.metrics()
+            for metric in (metrics.apply(k) for k in range(metrics.size()) if "Join" in node.name()):
+                value = values.get(metric.accumulatorId())
+                if metric.name() == "number of output rows" and value.isDefined():
+                    rows += int(value.get().replace(",", ""))
+    return rows
+
+
+def test_components_read_an_edge_once(spark):
+    rng = random.Random(29)
+    edges = [(a, b) for a in range(60) for b in range(a) if rng.random() < 0.6] + [(100 + k, 101 + k) for k in range(200)]
+    table = spark.createDataFrame(edges, "a long, b long")
+    made = rows_of_joins(spark, lambda: common.components(table).collect())
+    assert made <= 2 * len(edges) + 12 * 261  # two lookups for each edge; what is left are steps of the nodes
+
+
+def test_blocks_of_near_copies_give_one_tie_for_each_pair_of_blocks(spark, monkeypatch):
+    texts = [" ".join([f"w{k}" for k in range(100)] + [f"x{n}"]) for n in range(120)]
+    monkeypatch.setattr(jaccard, "BLOCK", 1000)
+    monkeypatch.setattr(jaccard, "MOST", 10)
+    ties = {}
+    monkeypatch.setattr(jaccard, "components", lambda edges, name: [ties.update({name: edges.count()}), common.components(edges, name)][1])
+    got = jaccard.jaccard_classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["class_id"], r["n_links"]) for r in got} == {(k, 0, 119) for k in range(120)}
+    blocks = 12
+    assert ties["classes"] == (120 - blocks) + blocks * (blocks - 1) // 2
+
+
 def test_toxicity(spark, empty):
     rng = random.Random(4)
     rows, labels = [], []
