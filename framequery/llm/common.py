@@ -65,14 +65,21 @@ def own_name(name: str) -> str:
 HOT = 2_000
 
 
-def join_frequent(many: DataFrame, few: DataFrame, keys: list[str], total: int, times: str = "times") -> DataFrame:
+def spread(df: DataFrame) -> DataFrame:
+    """df as a side of a join that is shuffled whatever its size: Spark broadcasts tables of up to 10 MB as they are
+    compressed, which become many times that in the driver's memory, and all of a plan's tables at once."""
+    return df.hint("merge")
+
+
+def join_frequent(many: DataFrame, few: DataFrame, keys: list[str], total: int, times: str = "times", wide: bool = False) -> DataFrame:
     """many joined with few on keys. few has one row for each key, and in `times` how many of the `total` rows of many
     have it. Frequent keys, HOT at most, go by broadcast, so that the rows of a key that a third of all rows share stay in
-    the tasks where they are; the others are shuffled."""
+    the tasks where they are; the others are shuffled, however small they are if `wide`."""
     often = F.col(times) * HOT > total
     hot = few.where(often)
     there = many.join(F.broadcast(hot), keys)
-    rest = many.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(few.where(~often), keys)
+    far = few.where(~often)
+    rest = many.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(spread(far) if wide else far, keys)
     return there.unionByName(rest)
 
 

@@ -10,6 +10,8 @@ BLOCKS - RADIUS blocks, so that they meet in the table of some choice of that ma
 such table. The tables hold distinct fingerprints only, so copies of a text cost one entry. An entry's fingerprints meet
 in lists of about MOST; a fingerprint gets back how many are near it and the least label among them, never the pairs.
 
+Tables that grow with the input are shuffled, never broadcast: the driver holds frequent keys (HOT) and heads of ranges only.
+
 Words are runs of `[^\x20\x09-\x0D]`, unchanged. Defined results: a null text is empty; a text without words has the
 fingerprint of 128 zeros; fewer than five words are one term; a tie of votes leaves the bit 0. Rows with the same id and
 text count as one document in the order of documents and each get the same row; among different texts of one id the
@@ -24,7 +26,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, join_frequent, materialize
+from .common import discard, join_frequent, materialize, spread
 
 BITS = 128
 RADIUS, BLOCKS = 3, 6
@@ -127,7 +129,7 @@ def _met(entered: DataFrame, value: str, tables: list[tuple[int, int]], radius:
         met = F.exists(F.slice(before, F.lit(1), F.col("entry.k")), lambda m: d1.bitwiseAND(m["a"]).bitwiseOR(d2.bitwiseAND(m["b"])) == 0)
         return apart.between(1, radius) & ~met
 
-    return asked.join(lists, ["entry", "block"]).select("f1", "f2", F.transform(F.filter("list", near), lambda x: x["value"]).alias("near")).where(F.size("near") > 0)
+    return asked.join(spread(lists), ["entry", "block"]).select("f1", "f2", F.transform(F.filter("list", near), lambda x: x["value"]).alias("near")).where(F.size("near") > 0)
 
 
 def within_radius(prints: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
@@ -138,24 +140,24 @@ def within_radius(prints: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS)
     entries = F.array(*[F.struct(F.lit(k).alias("k"), F.col("f1").bitwiseAND(F.lit(a)).alias("m1"), F.col("f2").bitwiseAND(F.lit(b)).alias("m2")) for k, (a, b) in enumerate(tables)])
     entered = prints.select("f1", "f2", "rows", F.explode(entries).alias("entry"))
     shared = entered.groupBy("entry").agg(F.count("*").alias("times")).where("times > 1")
-    entered = join_frequent(entered, shared, ["entry"], prints.observed["n"] * len(tables)).withColumn("blocks", F.ceil(F.col("times") / MOST).cast("int"))
+    entered = join_frequent(entered, shared, ["entry"], prints.observed["n"] * len(tables), wide=True).withColumn("blocks", F.ceil(F.col("times") / MOST).cast("int"))
     entered = materialize(entered.withColumn("block", F.pmod(F.xxhash64("f1", "f2"), F.col("blocks")).cast("int")).drop("times"), "block-tables")
     found = _met(entered, "rows", tables, radius).groupBy("f1", "f2").agg(F.sum(F.aggregate("near", F.lit(0).cast("long"), lambda s, x: s + x)).alias("gained"))
     found = materialize(found, "near-counts", n=F.count(F.lit(1)))
     # labels: the least fingerprint seen so far, and in every round that of the least neighbour's label, too
     table = materialize(found.select("f1", "f2", F.struct("f1", "f2").alias("root")), "print-labels")
     moved = found.observed["n"]
-    entered = entered.join(found.select("f1", "f2"), ["f1", "f2"], "left_semi")
+    entered = entered.join(spread(found.select("f1", "f2")), ["f1", "f2"], "left_semi")
     while moved:
-        seen = _met(entered.join(table, ["f1", "f2"]), "root", tables, radius).groupBy("f1", "f2").agg(F.min(F.array_min("near")).alias("seen"))
-        low = table.join(seen, ["f1", "f2"]).select("f1", "f2", F.col("root").alias("was"), F.least("root", "seen").alias("low"))
+        seen = _met(entered.join(spread(table), ["f1", "f2"]), "root", tables, radius).groupBy("f1", "f2").agg(F.min(F.array_min("near")).alias("seen"))
+        low = table.join(spread(seen), ["f1", "f2"]).select("f1", "f2", F.col("root").alias("was"), F.least("root", "seen").alias("low"))
         hop = table.select(F.struct("f1", "f2").alias("low"), F.col("root").alias("via"))
-        stepped = low.join(hop, "low").select("f1", "f2", F.least("low", "via").alias("root"), "was")
+        stepped = low.join(spread(hop), "low").select("f1", "f2", F.least("low", "via").alias("root"), "was")
         stepped = materialize(stepped, "print-labels", moved=F.count_if(F.col("root") != F.col("was")))
         discard(table)
         table, moved = stepped.drop("was"), stepped.observed["moved"]
         table._written = stepped._written
-    return found.join(table, ["f1", "f2"]).select("f1", "f2", "gained", F.col("root.f1").alias("r1"), F.col("root.f2").alias("r2"))
+    return found.join(spread(table), ["f1", "f2"]).select("f1", "f2", "gained", F.col("root.f1").alias("r1"), F.col("root.f2").alias("r2"))
 
 
 def next_documents(keyed: DataFrame) -> DataFrame:
@@ -193,7 +195,7 @@ def document_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str
     lenders = texts.dropDuplicates(["doc_id", "th"]) if repeated else texts
     asked = ring.select(F.col("next_id").alias("doc_id"), F.col("next_th").alias("th"), F.col("doc_id").alias("to_id"), F.col("th").alias("to_th"), "n")
     lent = lenders.join(asked.hint("shuffle_hash"), ["doc_id", "th"]).select(F.col("to_id").alias("doc_id"), F.col("to_th").alias("th"), F.expr("substring(text, 1, int(n div 2))").alias("lent"))
-    own = lenders.join(lent, ["doc_id", "th"])
+    own = lenders.join(spread(lent), ["doc_id", "th"])
     edited = own.select("doc_id", "th", "text", F.expr("concat(substring(text, 1, int(char_length(text) - char_length(text) div 2)), lent)").alias("edited"))
     both = edited.select("doc_id", "th", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("text")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("text")))).alias("x"))
     both = both.select("doc_id", "th", "x.kind", "x.text", F.when(F.col("x.kind") == 1, F.sha2("x.text", 256)).alias("sha"))
@@ -203,15 +205,16 @@ def document_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str
     prints = materialize(prints, "fingerprints")
 
     counted = slim.groupBy("doc_id", "th").agg(F.count("*").alias("rows"), F.first("n").alias("n_chars"))
-    known = materialize(prints.join(counted, ["doc_id", "th"]), "documents-with-prints", n=F.count(F.lit(1)))
+    known = materialize(prints.join(spread(counted), ["doc_id", "th"]), "documents-with-prints", n=F.count(F.lit(1)))
     distinct = materialize(known.groupBy("f1", "f2").agg(F.sum("rows").alias("rows"), F.count("*").alias("times"), F.min("doc_id").alias("least")), "distinct-fingerprints")
-    named = distinct.join(within_radius(distinct, radius), ["f1", "f2"], "left").withColumn("r1", F.coalesce("r1", "f1")).withColumn("r2", F.coalesce("r2", "f2"))
+    named = distinct.join(spread(within_radius(distinct, radius)), ["f1", "f2"], "left").withColumn("r1", F.coalesce("r1", "f1")).withColumn("r2", F.coalesce("r2", "f2"))
     least = named.groupBy("r1", "r2").agg(F.min("least").alias("class_id"))
-    named = named.join(least, ["r1", "r2"]).select("f1", "f2", "times", "class_id", (F.col("rows") - 1 + F.coalesce("gained", F.lit(0))).alias("n_near"))
+    named = named.join(spread(least), ["r1", "r2"]).select("f1", "f2", "times", "class_id", (F.col("rows") - 1 + F.coalesce("gained", F.lit(0))).alias("n_near"))
     named = materialize(named, "fingerprint-classes")
 
     after = prints.select(F.col("doc_id").alias("next_id"), F.col("th").alias("next_th"), F.col("f1").alias("n1"), F.col("f2").alias("n2"))
-    rows = join_frequent(known, named, ["f1", "f2"], known.observed["n"]).join(ring.drop("n"), ["doc_id", "th"]).join(after, ["next_id", "next_th"])
+    rows = join_frequent(known, named, ["f1", "f2"], known.observed["n"], wide=True)
+    rows = rows.join(spread(ring.drop("n")), ["doc_id", "th"]).join(spread(after), ["next_id", "next_th"])
     if repeated:
         rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))
     f, e, nx = (F.col("f1"), F.col("f2")), (F.col("e1"), F.col("e2")), (F.col("n1"), F.col("n2"))

@@ -384,6 +384,26 @@ def test_blocks_of_near_copies_give_one_tie_for_each_pair_of_blocks(spark, monke
     assert ties["classes"] == (120 - blocks) + blocks * (blocks - 1) // 2
 
 
+def test_fingerprints_broadcast_no_table_that_grows(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT", 1)  # no key is frequent
+    texts = [(k, " ".join(f"w{k // 2}-{n}" for n in range(40))) for k in range(200)]
+    store, bus = spark._jsparkSession.sharedState().statusStore(), spark.sparkContext._jsc.sc().listenerBus()
+    before = store.executionsCount()
+    got = fingerprints.document_fingerprints(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["class_id"], r["n_near"]) for r in got} == {(k, k // 2 * 2, 1) for k in range(200)}
+    bus.waitUntilEmpty(60_000)
+    runs, most = store.executionsList(), 0
+    for run in (runs.apply(k) for k in range(before, runs.size())):
+        values, nodes = store.executionMetrics(run.executionId()), store.planGraph(run.executionId()).allNodes()
+        for node in (nodes.apply(k) for k in range(nodes.size())):
+            metrics = node.metrics()
+            for metric in (metrics.apply(k) for k in range(metrics.size()) if "BroadcastExchange" in node.name()):
+                value = values.get(metric.accumulatorId())
+                if metric.name() == "number of output rows" and value.isDefined():
+                    most = max(most, int(value.get().replace(",", "")))
+    assert most <= 4  # the ranges' heads
+
+
 def test_toxicity(spark, empty):
     rng = random.Random(4)
     rows, labels = [], []
