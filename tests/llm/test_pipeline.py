@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 import corpus_pipeline
-from framequery.llm import queries
+from framequery.llm import jaccard, queries
 
 
 @pytest.fixture(scope="module")
@@ -120,3 +120,14 @@ def test_query_equals_sql(spark, name):
     order = [d[0] for d in answer.description]
     assert sorted(order) == sorted(df.columns)
     assert sorted(map(str, (tuple(r) for r in df.select(*order).collect()))) == sorted(map(str, answer.fetchall()))
+
+
+def test_near_copies_in_many_blocks_are_tied_once_for_each_pair_of_blocks(spark, monkeypatch):
+    texts = [" ".join([f"w{k}" for k in range(100)] + [f"x{n}"]) for n in range(60)] + ["some other text of a few words"]
+    monkeypatch.setattr(jaccard, "BLOCK", 1000)
+    monkeypatch.setattr(jaccard, "MOST", 10)
+    ties, components = {}, jaccard.components
+    monkeypatch.setattr(jaccard, "components", lambda edges, name: [ties.update({name: edges.count()}), components(edges, name)][1])
+    stay = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "")
+    assert sorted(r["doc_id"] for r in stay.collect()) == [0, 60]
+    assert ties["classes"] == (60 - 6) + 6 * 5 // 2
